@@ -192,53 +192,62 @@ def _all(conditions: list[Column]) -> Column:
     return result
 
 
-def hot_groups(df: DataFrame, keys: tuple[str, ...], min_rows: int, share: float) -> list:
-    """Groups with more than `min_rows` rows and more than `share` of all rows: at most 1/share."""
-    counts = df.groupBy(*keys).count()
-    big = counts.where(F.col("count") > min_rows)
+@dataclass(frozen=True)
+class HotGroups:
+    """Groups too large for one task: rows of key values with `count`, at most 1/HOT_SHARE of them."""
+
+    rows: list
+    chunk_rows: int = HOT_ROWS
+
+
+def hot_groups(
+    df: DataFrame, keys: tuple[str, ...], min_rows: int = HOT_ROWS, share: float = HOT_SHARE
+) -> HotGroups:
+    """Groups with more than `min_rows` rows and more than `share` of all rows.
+
+    One count by key, combined map-side. Find them once on the source and hand the result to
+    every operator of a plan, so the check is not repeated on derived tables.
+    """
+    big = df.groupBy(*keys).count().where(F.col("count") > min_rows)
     if not big.take(1):
-        return []
+        return HotGroups([], min_rows)
     total = df.count()
-    return big.where(F.col("count") > total * share).collect()
+    return HotGroups(big.where(F.col("count") > total * share).collect(), min_rows)
 
 
 def split_hot(
     df: DataFrame,
     ordering: Ordering,
     build: Callable[[DataFrame, Ordering], DataFrame],
-    min_rows: int = HOT_ROWS,
-    share: float = HOT_SHARE,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Run `build` with whole-group windows on cold groups and chunked ones on hot groups.
 
-    One key-only count finds the hot groups; there are at most 1/share of them, each with
-    at most MAX_CHUNKS bounds, so the table sent to all executors has a fixed size limit.
+    There are at most 1/HOT_SHARE hot groups, each with at most MAX_CHUNKS bounds, so the
+    table sent to all executors has a fixed size limit. Rows with equal position share a chunk.
     """
-    hot = hot_groups(df, ordering.keys, min_rows, share)
-    if not hot:
+    if hot is None:
+        hot = hot_groups(df, ordering.keys)
+    if not hot.rows:
         return build(df, ordering)
 
     spark = df.sparkSession
     keys = ordering.keys
-    key_schema = df.select(*keys).schema
-    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
+    key_fields = df.select(*keys).schema.fields
+    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot.rows], T.StructType(key_fields))
     hot_keys = hot_keys.withColumnsRenamed({k: f"_h_{k}" for k in keys})
     same = _all([F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     cold_rows = df.join(F.broadcast(hot_keys), on=same, how="left_anti")
     hot_rows = df.join(F.broadcast(hot_keys), on=same, how="left_semi")
 
-    pieces = min(MAX_CHUNKS, ceil(max(r["count"] for r in hot) / min_rows) + 1)
+    pieces = min(MAX_CHUNKS, ceil(max(r["count"] for r in hot.rows) / hot.chunk_rows) + 1)
     cuts = [i / pieces for i in range(1, pieces)]
-    bounds = (
-        hot_rows.groupBy(*keys)
-        .agg(F.percentile_approx(F.expr(ordering.position).cast("double"), cuts).alias("_cuts"))
-        .collect()
-    )
+    position = F.expr(ordering.position).cast("double")
+    bounds = hot_rows.groupBy(*keys).agg(F.percentile_approx(position, cuts).alias("_cuts")).collect()
     bound_table = spark.createDataFrame(
         [(*[r[k] for k in keys], r["_cuts"]) for r in bounds],
-        T.StructType([*key_schema.fields, T.StructField("_cuts", T.ArrayType(T.DoubleType()))]),
+        T.StructType([*key_fields, T.StructField("_cuts", T.ArrayType(T.DoubleType()))]),
     ).withColumnsRenamed({k: f"_h_{k}" for k in keys})
-    position = F.expr(ordering.position).cast("double")
     chunked = (
         hot_rows.withColumn("_position", position)
         .join(F.broadcast(bound_table), on=same, how="inner")

@@ -1 +1,13 @@
+"""Registered queries over the given tables, each with its SQL where SQL can state it."""
 
+from touchline.queries import sequences
+
+MODULES = (sequences,)
+
+
+def all_queries() -> dict:
+    return {name: run for m in MODULES for name, run in m.QUERIES.items()}
+
+
+def all_oracles() -> dict:
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
