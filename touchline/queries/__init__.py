@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with its SQL where SQL can state it."""
 
-from touchline.queries import lineups_and_segments, sequences
+from touchline.queries import lineups_and_segments, players, sequences
 
-MODULES = (sequences, lineups_and_segments)
+MODULES = (sequences, lineups_and_segments, players)
 
 
 def all_queries() -> dict:

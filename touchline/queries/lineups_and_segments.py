@@ -174,7 +174,7 @@ def xg_quality(spark, folder):
 
 
 def segments_after_xg_filter(spark, folder):
-    kept, _, _, _ = S.drop_bad_xg(built(spark, folder), players(spark, folder), results(spark, folder), threshold=35)
+    kept, _, _, _ = S.drop_bad_xg(built(spark, folder), players(spark, folder), results(spark, folder), threshold=62)
     return kept.groupBy("league", "season_end_year").agg(F.count(F.lit(1)).alias("n_segments"))
 
 
@@ -350,7 +350,7 @@ ORACLES = {
       FROM k JOIN h USING (match_id) WHERE k.segment_num > lo AND k.segment_num <= hi""",
     "xg_quality": f"SELECT *, zero_xg_pct >= 20 AS is_bad FROM ({_QUALITY})",
     "segments_after_xg_filter": f"""
-      SELECT league, season_end_year, n_segments FROM ({_QUALITY}) WHERE zero_xg_pct < 35""",
+      SELECT league, season_end_year, n_segments FROM ({_QUALITY}) WHERE zero_xg_pct < 62""",
     "feed_lineups": f"""
       SELECT match_id, team, team = 'O' AS is_home, count(*) AS n, CAST(sum(o) AS DOUBLE) AS sum_on, sum(greatest(f, o + m)) AS sum_off FROM ({_FEED}) GROUP BY ALL""",
     "feed_results": f"""
