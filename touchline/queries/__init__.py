@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with its SQL where SQL can state it."""
 
-from touchline.queries import lineups_and_segments, players, sequences
+from touchline.queries import forecasts, lineups_and_segments, players, sequences
 
-MODULES = (sequences, lineups_and_segments, players)
+MODULES = (sequences, lineups_and_segments, players, forecasts)
 
 
 def all_queries() -> dict:

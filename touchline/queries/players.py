@@ -240,7 +240,7 @@ def non_penalty_xg(spark, folder):
 def padded_means(spark, folder):
     a = box_a(spark, folder)
     games = a.groupBy("player_name").agg(F.count(F.lit(1)).alias("n_games"), F.avg("x_g").alias("x_g"), F.avg("gls").alias("gls"))
-    return rounded(R.pad_to_mean(games, ["x_g", "gls"], min_games=30))
+    return rounded(R.pad_to_mean(games, ["x_g", "gls"], min_games=37))
 
 
 def season_games(spark, folder):
@@ -419,7 +419,7 @@ ORACLES = {
       FROM lineitem WHERE l_tax < 0.08 GROUP BY ALL""",
     "padded_means": f"""
       WITH g AS (SELECT player_name, count(*) AS n_games, avg(x_g) AS x_g, avg(gls) AS gls FROM {A} GROUP BY 1), m AS (SELECT avg(x_g) AS mx, avg(gls) AS mg FROM g)
-      SELECT player_name, n_games, round(least(n_games / 30, 1) * x_g + (1 - least(n_games / 30, 1)) * mx, 6) AS x_g, round(least(n_games / 30, 1) * gls + (1 - least(n_games / 30, 1)) * mg, 6) AS gls FROM g, m""",
+      SELECT player_name, n_games, round(least(n_games / 37, 1) * x_g + (1 - least(n_games / 37, 1)) * mx, 6) AS x_g, round(least(n_games / 37, 1) * gls + (1 - least(n_games / 37, 1)) * mg, 6) AS gls FROM g, m""",
     "season_games": f"SELECT player_name, team, count(*) AS n_games, CAST(sum(gls) AS BIGINT) AS gls_total, round(avg(x_g), 6) AS x_g_avg FROM {A} GROUP BY ALL",
     "player_rate_matrix": f"""
       WITH s AS (SELECT match_id, team, greatest(20, sum(touches) / 5) AS e FROM {A} GROUP BY ALL),
