@@ -7,7 +7,7 @@ each team's sequence, and small rating changes make it settle far sooner; the lo
 no rating moves. Blocks pass on one rating per team.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from touchline.constants import ELO_HOME_ADVANTAGE, ELO_INITIAL, ELO_K
 from touchline.operators.ordering import HotGroups, Ordering, hot_groups, split_hot
@@ -43,36 +43,20 @@ def update_elos(matches: DataFrame, k: float = ELO_K, home_advantage: float = EL
     )
 
 
-def _sweep(rated: DataFrame, base: DataFrame, hot: HotGroups, k: float, home_advantage: float) -> DataFrame:
-    """Better pre-match ratings from the changes under the current ones."""
-    change = home_change(
-        F.col("home_elo"), F.col("away_elo"), F.col("home_goals"), F.col("away_goals"), k, home_advantage
-    )
-    side = lambda team, sign, home: F.struct(
-        F.col(team).alias("team"), (sign * F.col("_change")).alias("change"), F.lit(home).alias("is_home")
-    )
-    long = (
-        rated.withColumn("_change", change)
-        .select("match_id", "match_date", F.explode(F.array(side("home_team", 1, True), side("away_team", -1, False))).alias("s"))
-        .select("match_id", "match_date", "s.*")
-    )
-
-    def before(df: DataFrame, order: Ordering) -> DataFrame:
-        return order.running_sum(df, {"_upto": F.col("change")})
+def _sweep(long: DataFrame, order: Ordering, k: float, home_advantage: float) -> DataFrame:
+    """Better pre-match ratings from the changes under the current ones.
 
-    moved = split_hot(long, TEAM_ORDER, before, hot=hot).join(base, "team")
-    pre = F.col("elo") + F.col("_upto") - F.col("change")
-    ratings = moved.withColumn("_pre", pre).groupBy("match_id").agg(
-        F.max(F.when(F.col("is_home"), F.col("_pre"))).alias("_home"),
-        F.max(F.when(~F.col("is_home"), F.col("_pre"))).alias("_away"),
-    )
-    gap = F.greatest(F.abs(F.col("_home") - F.col("home_elo")), F.abs(F.col("_away") - F.col("away_elo")))
-    return rated.drop("_gap").join(ratings, "match_id").withColumn("_gap", gap).select(
-        *[c for c in rated.columns if c not in ("home_elo", "away_elo", "_gap")],
-        F.col("_home").alias("home_elo"),
-        F.col("_away").alias("away_elo"),
-        "_gap",
-    )
+    `long` has two rows per match; one exchange by match pairs them, one by team sums changes.
+    """
+    pair = W.partitionBy("match_id")
+    home = F.max(F.when(F.col("is_home"), F.col("pre"))).over(pair)
+    away = F.max(F.when(~F.col("is_home"), F.col("pre"))).over(pair)
+    change = home_change(home, away, F.col("home_goals"), F.col("away_goals"), k, home_advantage)
+    moved = long.withColumn("change", F.when(F.col("is_home"), change).otherwise(-change))
+    summed = order.running_sum(moved, {"_upto": F.col("change")})
+    return summed.withColumns(
+        {"previous": F.col("pre"), "pre": F.col("start") + F.col("_upto") - F.col("change")}
+    ).drop("_upto")
 
 
 def match_elos(
@@ -81,53 +65,57 @@ def match_elos(
     home_advantage: float = ELO_HOME_ADVANTAGE,
     initial: float = ELO_INITIAL,
     block: Column | None = None,
-    tolerance: float = 1e-9,
-    max_sweeps: int = 200,
+    tolerance: float = 1e-6,
+    sweeps_per_job: int = 5,
+    max_sweeps: int = 400,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Ratings of both teams before each match, in order of date and match id.
 
-    `block` cuts time into spans with few matches per team (default: calendar year); it must
-    not fall as dates rise. The driver only sees block labels and one largest move per sweep.
+    `block` cuts time into spans with few matches per team (such as `year(match_date)`); it must
+    not fall as dates rise. Shorter spans need fewer sweeps each. The driver only sees block
+    labels and one largest move per job.
     """
-    block = F.year("match_date") if block is None else block
-    games = results.select(
-        "match_id", F.to_date("match_date").alias("match_date"), "home_team", "away_team", "home_goals", "away_goals"
-    ).withColumn("_block", block)
-    games = cut_lineage(games)
-    labels = sorted(r[0] for r in games.select("_block").distinct().collect())
-    base = cut_lineage(
-        initial_elos(
-            games.select(F.explode(F.array("home_team", "away_team")).alias("team")), initial
-        )
-    )
-    done = None
+    side = lambda team, home: F.struct(F.col(team).alias("team"), F.lit(home).alias("is_home"))
+    long = results.select(
+        "match_id",
+        F.to_date("match_date").alias("match_date"),
+        "home_goals",
+        "away_goals",
+        F.explode(F.array(side("home_team", True), side("away_team", False))).alias("s"),
+    ).select("match_id", "match_date", "home_goals", "away_goals", "s.*")
+    long = long.withColumn("_block", F.lit(0) if block is None else block)
+    if hot is None:
+        hot = hot_groups(long, ("team",))
+    labels = [0] if block is None else sorted(r[0] for r in long.select("_block").distinct().collect())
+    base, done = None, None
     for label in labels:
-        part = games.where(F.col("_block") == label)
-        sides = part.select(F.explode(F.array("home_team", "away_team")).alias("team"))
-        hot = hot_groups(sides, ("team",))
-        home = base.select(F.col("team").alias("home_team"), F.col("elo").alias("home_elo"))
-        away = base.select(F.col("team").alias("away_team"), F.col("elo").alias("away_elo"))
-        rated = part.join(home, "home_team").join(away, "away_team").withColumn("_gap", F.lit(0.0))
-        for _ in range(max_sweeps):
-            rated = cut_lineage(_sweep(rated, base, hot, k, home_advantage))
-            if rated.agg(F.max("_gap")).first()[0] <= tolerance:
+        part = long if block is None else long.where(F.col("_block") == label)
+        if base is None:
+            part = part.withColumn("start", F.lit(float(initial)))
+        else:
+            part = part.join(base, "team", "left").withColumn("start", F.coalesce("elo", F.lit(float(initial)))).drop("elo")
+        part = part.withColumn("pre", F.col("start"))
+        for done_sweeps in range(0, max_sweeps, sweeps_per_job):
+            for _ in range(sweeps_per_job):
+                part = split_hot(
+                    part.drop("previous", "change"), TEAM_ORDER, lambda d, o: _sweep(d, o, k, home_advantage), hot
+                )
+            part = cut_lineage(part)
+            if part.agg(F.max(F.abs(F.col("pre") - F.col("previous")))).first()[0] <= tolerance:
                 break
         else:
             raise RuntimeError(f"ratings of block {label} did not settle; use shorter blocks")
-        change = home_change(
-            F.col("home_elo"), F.col("away_elo"), F.col("home_goals"), F.col("away_goals"), k, home_advantage
-        )
-        moves = rated.withColumn("_c", change).select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("home_team").alias("team"), F.col("_c").alias("c")),
-                    F.struct(F.col("away_team").alias("team"), (-F.col("_c")).alias("c")),
-                )
-            ).alias("m")
-        ).groupBy(F.col("m.team").alias("team")).agg(F.sum("m.c").alias("_c"))
-        base = cut_lineage(
-            base.join(moves, "team", "left").select("team", (F.col("elo") + F.coalesce("_c", F.lit(0.0))).alias("elo"))
-        )
-        part_out = rated.select("match_id", "home_elo", "away_elo")
-        done = part_out if done is None else done.unionByName(part_out)
-    return done.withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))
+        rated = part.select("match_id", "is_home", "pre")
+        done = rated if done is None else done.unionByName(rated)
+        if label != labels[-1]:
+            after = part.groupBy("team").agg((F.max("start") + F.sum("change")).alias("elo"))
+            if base is not None:
+                kept = base.join(after, "team", "left_anti")
+                after = after.unionByName(kept)
+            base = cut_lineage(after)
+    ratings = done.groupBy("match_id").agg(
+        F.max(F.when(F.col("is_home"), F.col("pre"))).alias("home_elo"),
+        F.max(F.when(~F.col("is_home"), F.col("pre"))).alias("away_elo"),
+    )
+    return ratings.withColumn("elo_diff", F.col("home_elo") - F.col("away_elo"))
