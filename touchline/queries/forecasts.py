@@ -38,7 +38,7 @@ def player_matches(spark, folder):
         (F.sqrt("d") * 3.017).alias("goals_p90"),
         F.sqrt(F.col("n")).alias("tackles_won_p90"),
         F.col("n").cast("double").alias("passes"),
-        (F.col("t") * 9.7 + 0.1).alias("pass_accuracy"),
+        (F.sqrt("t") * 2.3 + 0.1).alias("pass_accuracy"),
         (F.col("s") % 2).cast("int").alias("is_home"),
         F.concat(F.lit("T"), F.col("s") % 10).alias("opponent_team"),
         F.when(F.col("o_orderstatus") == "O", "ENG").when(F.col("o_orderstatus") == "F", "NED").otherwise("POR").alias("competition"),
@@ -47,7 +47,7 @@ def player_matches(spark, folder):
 
 PM = """SELECT l_partkey AS player_id, 'p' || l_partkey AS player_name, l_orderkey AS match_id, CAST(o_orderdate AS DATE) AS match_date,
   CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN 'GK' WHEN l_partkey % 4 = 1 THEN 'DEF' WHEN l_partkey % 4 = 2 THEN 'MID' ELSE 'FWD' END AS pos,
-  least(q, 90) AS mins, sqrt(d) * 3.017 AS goals, sqrt(n) AS tackles, CAST(n AS DOUBLE) AS passes, t * 9.7 + 0.1 AS acc, s % 2 AS is_home, 'T' || (s % 10) AS opponent_team,
+  least(q, 90) AS mins, sqrt(d) * 3.017 AS goals, sqrt(n) AS tackles, CAST(n AS DOUBLE) AS passes, sqrt(t) * 2.3 + 0.1 AS acc, s % 2 AS is_home, 'T' || (s % 10) AS opponent_team,
   CASE o_orderstatus WHEN 'O' THEN 'ENG' WHEN 'F' THEN 'NED' ELSE 'POR' END AS competition
   FROM (SELECT l_partkey, l_orderkey, sum(l_quantity) AS q, sum(l_discount) AS d, avg(l_tax) AS t, sum(l_linenumber) AS n, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)
   JOIN orders ON o_orderkey = l_orderkey"""

@@ -9,7 +9,7 @@ from touchline.queries.roles import rounded, table
 # raw column of a source, by the expression over a line item that stands in for it
 LINE_A = {
     "min": "l_quantity * 1.0137", "gls": "l_linenumber", "ast": "l_linenumber % 3", "sh": "l_suppkey % 6 + l_linenumber",
-    "so_t": "l_suppkey % 4", "x_g": "l_discount * 7.0137", "npx_g": "l_discount * 6.0171", "x_ag": "l_tax * 3.0119",
+    "so_t": "l_suppkey % 4", "x_g": "sqrt(l_discount) * 2.1", "npx_g": "l_discount * 6.0171", "x_ag": "l_tax * 3.0119",
     "sca": "l_suppkey % 5", "gca": "l_suppkey % 3", "touches": "l_quantity * 2", "tkl": "l_suppkey % 8",
     "int": "l_linenumber % 4", "blocks": "l_suppkey % 2", "cmp": "l_suppkey % 30", "att": "l_suppkey % 30 + l_linenumber",
     "prg_p": "l_suppkey % 9", "carries": "l_linenumber * 2", "prg_c": "l_linenumber % 2", "kp": "l_suppkey % 3",
@@ -49,13 +49,13 @@ LINE_C = {
 }
 LINE_X = {
     "minutes": "l_quantity * 1.0137", "shots": "l_suppkey % 6", "shots_on_target": "l_suppkey % 3", "goals": "l_linenumber % 3",
-    "npgoals": "l_linenumber % 2", "xg": "l_discount * 7.0137", "npxg": "l_discount * 6.0171", "key_passes": "l_suppkey % 2",
+    "npgoals": "l_linenumber % 2", "xg": "sqrt(l_discount) * 2.1", "npxg": "l_discount * 6.0171", "key_passes": "l_suppkey % 2",
     "assists": "l_linenumber % 2", "xa": "l_tax * 3.0119", "passes_attempted": "l_suppkey % 40 + 5",
     "passes_completed": "l_suppkey % 40", "sum_xpass": "l_suppkey % 40 * 0.9137", "xpass_overperformance": "l_suppkey % 40 * 0.0863",
 }
 LINE_B = {
     "time": "l_quantity * 1.0137", "goals": "l_linenumber % 3", "assists": "l_linenumber % 2", "shots": "l_suppkey % 6",
-    "key_passes": "l_suppkey % 2", "x_g": "l_discount * 7.0137", "x_a": "l_tax * 3.0119", "x_g_chain": "l_discount * 9.0193",
+    "key_passes": "l_suppkey % 2", "x_g": "sqrt(l_discount) * 2.1", "x_a": "l_tax * 3.0119", "x_g_chain": "l_discount * 9.0193",
     "x_g_buildup": "l_tax * 4",
 }
 _TEAM = "CASE WHEN l_suppkey % 3 = 0 THEN 'T0' WHEN l_suppkey % 3 = 1 THEN 'T1' ELSE 'T2' END"

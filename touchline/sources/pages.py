@@ -26,31 +26,36 @@ OFFICIALS = {"Referee": "referee", "AR1": "ar1", "AR2": "ar2", "4th": "fourth_of
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "texts")
+    """An element with its text parts; `order` lists all elements below it in document order."""
+
+    __slots__ = ("tag", "attrs", "children", "texts", "names", "order")
 
     def __init__(self, tag="", attrs=()):
-        self.tag, self.attrs, self.children, self.texts = tag, dict(attrs), [], []
+        self.tag, self.attrs, self.children, self.texts, self.order = tag, dict(attrs), [], [], None
+        self.names = (self.attrs.get("class") or "").split()
 
     def text(self) -> str:
         return "".join(t if isinstance(t, str) else t.text() for t in self.texts)
 
-    def walk(self):
-        for c in self.children:
-            yield c
-            yield from c.walk()
-
-    def classes(self) -> list[str]:
-        return (self.attrs.get("class") or "").split()
+    def walk(self) -> list["Node"]:
+        if self.order is None:
+            self.order = []
+            for c in self.children:
+                self.order.append(c)
+                self.order += c.walk()
+        return self.order
 
-    def all(self, tag=None, cls=None, id=None):
+    def all(self, tag=None, cls=None, id=None) -> list["Node"]:
         return [
             n for n in self.walk()
-            if (tag is None or n.tag in tag.split(",")) and (cls is None or cls in n.classes()) and (id is None or n.attrs.get("id") == id)
+            if (tag is None or n.tag == tag) and (cls is None or cls in n.names) and (id is None or n.attrs.get("id") == id)
         ]
 
-    def one(self, **kw):
-        found = self.all(**kw)
-        return found[0] if found else None
+    def one(self, tag=None, cls=None, id=None) -> "Node | None":
+        for n in self.walk():
+            if (tag is None or n.tag == tag) and (cls is None or cls in n.names) and (id is None or n.attrs.get("id") == id):
+                return n
+        return None
 
 
 class _Tree(HTMLParser):
@@ -174,7 +179,7 @@ def page_events(page: Node, url: str) -> list[dict]:
         other, other_id = _linked(second)
         rows.append({
             "source_id": _first("[a-f0-9]{8}", url), "minute": clock.group(1) if clock else None,
-            "added_time": clock.group(2) if clock else None, "event_type": kind, "is_home": "a" in node.classes(),
+            "added_time": clock.group(2) if clock else None, "event_type": kind, "is_home": "a" in node.names,
             "player": player, "player_id": player_id, "secondary_player": other, "secondary_player_id": other_id,
             "score_home": score[0] if len(score) == 2 else None, "score_away": score[1] if len(score) == 2 else None,
         })
@@ -256,9 +261,21 @@ def timeline_events(page: Node) -> list[dict]:
     return rows
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", timeline: bool = False) -> DataFrame:
-    """(key, url, table, position, record): every record of every page, its fields as JSON."""
+def extract_pages(
+    pages: DataFrame,
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    timeline: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """(key, url, table, position, record): every record of every page, its fields as JSON.
+
+    `partitions` spreads pages over that many tasks first, for tables of few large files.
+    """
     kind = dict(pages.dtypes)[key]
+    if partitions is not None:
+        pages = pages.repartition(partitions, key, url)
 
     def run(batches):
         for batch in batches:

@@ -55,7 +55,7 @@ def _records(payloads: DataFrame, key: str, part: str, json: str, fields: list[s
     rows = sides.select(key, F.explode(F.concat(tagged("h", True), tagged("a", False))).alias("x"))
     return rows.select(
         key, F.col("x.is_home").alias("is_home"),
-        *[F.try_element_at(F.col("x.r"), F.lit(f)).alias(snake_case(f)) for f in fields],
+        *[F.try_element_at(F.col("x.r"), F.lit(f)).alias(snake_case(f)) for f in fields if snake_case(f) != key],
     )
 
 
