@@ -265,23 +265,23 @@ def _segments_sql(goals=True, half=True, with_lineups=True, effective=False) ->
     bounds += f" UNION SELECT match_id, minute FROM {ev} WHERE event_type IN {kinds}"
     if with_lineups:
         bounds += f" UNION SELECT match_id, on_minute FROM ({LINEUPS}) WHERE NOT is_starter"
+    before = "(ev.minute < s.start_minute OR (ev.minute = s.start_minute AND s.start_minute > 2))"
+    within = "(ev.minute >= s.start_minute AND ev.minute < s.end_minute)"
     count = lambda kind, home, op: (
-        f"(SELECT count(*) FROM ev WHERE ev.match_id = s.match_id AND ev.event_type = '{kind}' AND "
-        f"{'' if home else 'NOT '}ev.is_home AND {op})"
+        f"count(*) FILTER (ev.event_type = '{kind}' AND {'' if home else 'NOT '}ev.is_home AND {op})"
     )
-    before = "(ev.minute < s.start_minute OR (ev.minute = s.start_minute AND s.start_minute > 2))"
-    within = "ev.minute >= s.start_minute AND ev.minute < s.end_minute"
     goal = (lambda home, op: count("goal", home, op)) if goals else (lambda home, op: "0")
     return f"""
-      WITH ev AS (SELECT e.* FROM {ev} e), b AS (SELECT DISTINCT match_id, m FROM ({bounds}) JOIN (SELECT match_id AS k FROM ({RESULTS})) ON k = match_id),
-      s AS (SELECT * FROM (SELECT match_id, CAST(row_number() OVER w AS INT) AS segment_num, m AS start_minute, lead(m) OVER w AS end_minute
+      WITH ev AS MATERIALIZED (SELECT e.* FROM {ev} e), b AS (SELECT DISTINCT match_id, m FROM ({bounds}) JOIN (SELECT match_id AS k FROM ({RESULTS})) ON k = match_id),
+      s AS MATERIALIZED (SELECT * FROM (SELECT match_id, CAST(row_number() OVER w AS INT) AS segment_num, m AS start_minute, lead(m) OVER w AS end_minute
               FROM b WINDOW w AS (PARTITION BY match_id ORDER BY m)) WHERE end_minute IS NOT NULL),
       x AS (SELECT s.match_id, s.segment_num, sum(xg) FILTER (team = 'O') AS xh, sum(xg) FILTER (team <> 'O') AS xa
             FROM (SELECT *, max(segment_num) OVER (PARTITION BY match_id) AS n FROM s) s JOIN ({SHOTS}) h ON h.match_id = s.match_id AND NOT h.is_penalty
               AND (h.minute >= s.start_minute OR segment_num = 1) AND (h.minute < s.end_minute OR segment_num = n) GROUP BY ALL),
-      c AS (SELECT s.*, {goal(True, before)} AS gf_home, {goal(False, before)} AS ga_home, {goal(True, within)} AS goals_home,
-              {goal(False, within)} AS goals_away, {count('red_card', True, before)} AS red_home, {count('red_card', False, before)} AS red_away,
-              coalesce(xh, 0) AS npxg_home, coalesce(xa, 0) AS npxg_away FROM s LEFT JOIN x USING (match_id, segment_num))
+      g AS (SELECT s.match_id, s.segment_num, s.start_minute, s.end_minute, {goal(True, before)} AS gf_home, {goal(False, before)} AS ga_home, {goal(True, within)} AS goals_home,
+              {goal(False, within)} AS goals_away, {count('red_card', True, before)} AS red_home, {count('red_card', False, before)} AS red_away
+            FROM s LEFT JOIN ev ON ev.match_id = s.match_id GROUP BY s.match_id, s.segment_num, s.start_minute, s.end_minute),
+      c AS (SELECT g.*, coalesce(xh, 0) AS npxg_home, coalesce(xa, 0) AS npxg_away FROM g LEFT JOIN x USING (match_id, segment_num))
       SELECT c.*, end_minute - start_minute AS duration, (start_minute + end_minute) / 2 AS avg_min, 11 - red_home AS n_players_home,
         11 - red_away AS n_players_away, match_id || '_' || segment_num AS segment_id, r.league, r.season_end_year
       FROM c JOIN ({RESULTS}) r USING (match_id)"""

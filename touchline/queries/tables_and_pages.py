@@ -331,7 +331,7 @@ def ridge_cross_products(spark, folder):
     d = _design(spark, folder)
     sums = RG.gram_sums(d.rows, d.covariates, n_folds=5)
     numeric = sums.where(~F.col("i").rlike("_off|_def|league_") & ~F.col("j").rlike("_off|_def|league_"))
-    return numeric.groupBy("i", "j").agg(F.round(F.sum("s"), 2).alias("s"))
+    return numeric.groupBy("i", "j").agg((F.round(F.sum("s") / 1000, 4) + F.lit(0.0)).alias("s"))
 
 
 def _part_ratings(spark, folder):
@@ -466,17 +466,18 @@ _RL = f"""(SELECT '/m/' || l_orderkey AS match_url, 'Mr ' || l_partkey AS player
 _P = """(SELECT CAST(p_partkey AS VARCHAR) AS player_id, 'n' || (p_partkey % 1500) AS player_name, p_size / 7.0 AS rating, sin(p_retailprice) * 3 AS rapm, cos(p_retailprice) * 2 AS spm, p_size / 11.0 + 0.3 AS o_rating,
   cos(CAST(p_partkey AS DOUBLE)) AS d_rating, p_retailprice AS total_minutes, p_type AS position, p_brand AS team, 1995 + p_partkey % 5 AS season_end_year FROM part)"""
 _HEX = lambda c: f"lpad(lower(printf('%x', {c})), 8, '0')"
-_PM = f"(SELECT player_id, sum(end_minute - start_minute) AS mins FROM ({LS.PLAYERS}) GROUP BY player_id)"
+_WITH = f"""WITH seg AS MATERIALIZED ({LS.SEGMENTS}), pl AS MATERIALIZED (SELECT s.segment_id, s.start_minute, s.end_minute, p.is_home, p.player_id
+  FROM seg s JOIN ({LS.LINEUPS}) p ON p.match_id = s.match_id AND p.on_minute <= s.start_minute AND p.off_minute > s.start_minute)"""
+_PM = "(SELECT player_id, sum(end_minute - start_minute) AS mins FROM pl GROUP BY player_id)"
 _ROWS = f"""
   (SELECT segment_id || ':home' AS row_id, match_id, segment_id, true AS home, npxg_home * 90 / duration AS y, greatest(duration / 90, 0.01) AS weight, gf_home - ga_home AS gd, gf_home + ga_home AS abs_goals, avg_min, 1.0 AS is_home,
-    n_players_home - n_players_away AS net_players, 22 - n_players_home - n_players_away AS abs_reds, league FROM ({LS.SEGMENTS})
+    n_players_home - n_players_away AS net_players, 22 - n_players_home - n_players_away AS abs_reds, league FROM seg
    UNION ALL SELECT segment_id || ':away', match_id, segment_id, false, npxg_away * 90 / duration, greatest(duration / 90, 0.01), ga_home - gf_home, gf_home + ga_home, avg_min, 0.0, n_players_away - n_players_home,
-    22 - n_players_home - n_players_away, league FROM ({LS.SEGMENTS}))
+    22 - n_players_home - n_players_away, league FROM seg)
 """
 _TOKENS = f"""
-  (SELECT segment_id, count(*) FILTER (mins >= 2000) AS reg, count(DISTINCT is_home) FILTER (mins < 2000) AS rep FROM ({LS.PLAYERS}) JOIN {_PM} USING (player_id) GROUP BY segment_id)
+  (SELECT segment_id, count(*) FILTER (mins >= 2000) AS reg, count(DISTINCT is_home) FILTER (mins < 2000) AS rep FROM pl JOIN {_PM} USING (player_id) GROUP BY segment_id)
 """
-_BEST = lambda cols, src: f"(SELECT player_name, arg_max(({', '.join(cols)}), (total_minutes, player_id)) AS b FROM {src} GROUP BY player_name)"
 
 ORACLES = {
     "player_names": f"""
@@ -549,20 +550,16 @@ ORACLES = {
     "payload_shots": "SELECT l_orderkey AS match_id, true AS is_home, count(*) AS n, max(CAST(l_discount AS VARCHAR)) AS x_g FROM lineitem GROUP BY 1",
     "embedded_match_info": "SELECT o_orderkey AS match_id, o_orderpriority AS home_team, CAST(o_custkey % 5 AS INT) AS home_score, 1.5 AS away_xg, CAST(NULL AS INT) AS away_score FROM orders",
     "design_rows": f"""
-      WITH f AS (SELECT min(league) AS first FROM {_ROWS})
-      SELECT row_id, match_id, round(y, 6) AS y, round(weight, 6) AS weight, CAST(gd AS DOUBLE) AS gd, CAST(abs_goals AS DOUBLE) AS abs_goals, avg_min, is_home, CAST(net_players AS DOUBLE) AS net_players, CAST(abs_reds AS DOUBLE) AS abs_reds,
-        coalesce(reg, 0) + CASE WHEN coalesce(rep, 0) = 0 THEN 0 ELSE (SELECT count(*) FROM (SELECT DISTINCT is_home FROM ({LS.PLAYERS}) p JOIN {_PM} USING (player_id) WHERE mins < 2000 AND p.segment_id = r.segment_id)) END
-        + CASE WHEN league <> first THEN 1 ELSE 0 END AS n_features FROM {_ROWS} r LEFT JOIN {_TOKENS} USING (segment_id), f""".replace(
-        f"CASE WHEN coalesce(rep, 0) = 0 THEN 0 ELSE (SELECT count(*) FROM (SELECT DISTINCT is_home FROM ({LS.PLAYERS}) p JOIN {_PM} USING (player_id) WHERE mins < 2000 AND p.segment_id = r.segment_id)) END",
-        "coalesce(rep, 0)",
-    ),
+      {_WITH}, f AS (SELECT min(league) AS first FROM {_ROWS})
+      SELECT row_id, match_id, round(y, 6) AS y, round(weight, 6) AS weight, CAST(gd AS DOUBLE) AS gd, CAST(abs_goals AS DOUBLE) AS abs_goals, avg_min, is_home, CAST(net_players AS DOUBLE) AS net_players,
+        CAST(abs_reds AS DOUBLE) AS abs_reds, coalesce(reg, 0) + coalesce(rep, 0) + CASE WHEN league <> first THEN 1 ELSE 0 END AS n_features FROM {_ROWS} r LEFT JOIN {_TOKENS} USING (segment_id), f""",
     "design_minutes": f"""
-      SELECT CAST(player_id AS VARCHAR) AS player_id, 'Player ' || player_id AS player_name, round(mins, 6) AS total_minutes FROM {_PM} WHERE mins >= 2000
+      {_WITH} SELECT CAST(player_id AS VARCHAR) AS player_id, 'Player ' || player_id AS player_name, round(mins, 6) AS total_minutes FROM {_PM} WHERE mins >= 2000
       UNION ALL SELECT 'replacement', 'Replacement Level', round(coalesce(sum(mins), 0), 6) FROM {_PM} WHERE mins < 2000""",
     "ridge_cross_products": f"""
-      WITH l AS (SELECT row_id, weight, unnest(['(one)', '(y)', 'gd', 'abs_goals', 'avg_min', 'is_home', 'net_players', 'abs_reds']) AS f,
+      {_WITH}, l AS (SELECT row_id, weight, unnest(['(one)', '(y)', 'gd', 'abs_goals', 'avg_min', 'is_home', 'net_players', 'abs_reds']) AS f,
         unnest([1.0, y, CAST(gd AS DOUBLE), CAST(abs_goals AS DOUBLE), avg_min, is_home, CAST(net_players AS DOUBLE), CAST(abs_reds AS DOUBLE)]) AS v FROM {_ROWS})
-      SELECT a.f AS i, b.f AS j, round(sum(a.weight * a.v * b.v), 2) AS s FROM l a JOIN l b ON a.row_id = b.row_id AND a.f <= b.f WHERE a.v <> 0 AND b.v <> 0 GROUP BY ALL""",
+      SELECT a.f AS i, b.f AS j, round(sum(a.weight * a.v * b.v) / 1000, 4) + 0.0 AS s FROM l a JOIN l b ON a.row_id = b.row_id AND a.f <= b.f WHERE a.v <> 0 AND b.v <> 0 GROUP BY ALL""",
     "rating_comparison": f"""
       SELECT a.player_id, round(a.rating, 6) AS rating, round(a.rapm, 6) AS rapm, round(b.spm, 6) AS spm, round(a.rating - a.rapm, 6) AS rating_vs_rapm, round(a.rating - b.spm, 6) AS rating_vs_spm, round(a.rapm - b.spm, 6) AS rapm_vs_spm
       FROM {_P} a LEFT JOIN (SELECT * FROM {_P} WHERE season_end_year > 1996) b USING (player_id)""",
@@ -582,8 +579,8 @@ ORACLES = {
     "team_roll_up": f"SELECT team, count(*) AS n_players, round(avg(rapm), 6) AS mean_rapm, round(sum(rapm), 6) AS total_rapm, round(max(rapm), 6) AS top_player_rapm FROM {_P} GROUP BY team",
     "final_ratings": f"""
       WITH p AS {_P}, b AS (SELECT player_name, arg_max(spm, (total_minutes, player_id)) AS s FROM p GROUP BY 1)
-      SELECT player_id, round(rapm, 6) AS rating, round(s, 6) AS base_rapm, round(s, 6) AS spm_overall, round(100.0 * rank() OVER (ORDER BY rapm) / count(*) OVER (), 6) AS rating_percentile,
-        CAST(rank() OVER (ORDER BY rapm DESC) AS DOUBLE) AS rating_rank FROM p JOIN b USING (player_name)""",
+      SELECT player_id, round(rapm, 6) AS rating, round(s, 6) AS base_rapm, round(s, 6) AS spm_overall, round(100.0 * (rank() OVER (ORDER BY rapm) + (count(*) OVER (PARTITION BY rapm) - 1) / 2) / count(*) OVER (), 6) AS rating_percentile,
+        rank() OVER (ORDER BY rapm DESC) + (count(*) OVER (PARTITION BY rapm) - 1) / 2 AS rating_rank FROM p JOIN b USING (player_name)""",
     "rating_export": f"""
       SELECT rank() OVER (ORDER BY rapm DESC) AS rating_rank, player_name, round(rapm, 4) AS rating, round(o_rating, 4) AS offense, round(d_rating, 4) AS defense, round(spm, 4) AS spm_overall, total_minutes,
         round(100.0 * rank() OVER (ORDER BY rapm) / count(*) OVER (), 1) AS rating_percentile FROM {_P} WHERE season_end_year = 1999""",
