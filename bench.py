@@ -12,11 +12,9 @@ from touchline.queries import all_queries
 from touchline.session import local_session
 
 HEADLINE = [
-    "possession_chains", "chain_outcomes", "labelled_actions", "action_conversion", "action_features", "next_goal_labels",
-    "action_values", "credit_assignment", "player_values", "expected_assists", "pass_features", "segments",
-    "segment_lineups", "design_rows", "player_totals_a", "player_totals_c", "match_level_stats", "view_summary_a",
-    "view_passing_c", "player_skills", "season_skills", "skill_backtest_accuracy", "context_adjustment", "rolling_form",
-    "lineup_ratings", "outcome_scores", "final_ratings", "clean_lineups", "partition_report", "unseen_matches",
+    "possession_chains", "chain_outcomes", "action_conversion", "action_features", "next_goal_labels", "action_values",
+    "credit_assignment", "segments", "player_totals_c", "view_summary_a", "player_skills", "rolling_form",
+    "lineup_ratings", "outcome_scores",
 ]
 
 
