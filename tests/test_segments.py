@@ -58,3 +58,24 @@ def test_segment_join_is_keyed(spark):
     plan = players._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert players.count() == 6
+
+
+def test_goals_and_reds_fall_back_per_match(spark):
+    results = spark.createDataFrame(
+        [("m1", "A", "B"), ("m2", "A", "B")], "match_id string, home_team string, away_team string"
+    )
+    events = spark.createDataFrame([("m1", 10.0, "goal", True)], "match_id string, minute double, event_type string, is_home boolean")
+    shots = spark.createDataFrame(
+        [("m1", 20.0, "B", 0.1, True, False), ("m2", 20.0, "B", 0.1, True, False)],
+        "match_id string, minute double, team string, xg double, is_goal boolean, is_penalty boolean",
+    )
+    lineups = spark.createDataFrame(
+        [("m2", "A", 1, 55.0, 0.0, True, 55.0)],
+        "match_id string, team string, crd_r int, off_minute double, on_minute double, is_starter boolean, minutes double",
+    )
+    segs = S.build_segments(results, events, shots, lineups).orderBy("match_id", "segment_num").collect()
+    starts = lambda m: [s.start_minute for s in segs if s.match_id == m]
+    assert starts("m1") == [0, 10, 46]
+    assert starts("m2") == [0, 20, 46, 55]
+    assert [s.ga_home for s in segs if s.match_id == "m2"] == [0, 1, 1, 1]
+    assert [s.red_home for s in segs if s.match_id == "m2"] == [0, 0, 0, 1]

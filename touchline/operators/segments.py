@@ -86,11 +86,7 @@ def match_clock(
     )
 
 
-def substitution_minutes(lineups: DataFrame) -> DataFrame:
-    """Distinct (match_id, minute) at which substitutes came on.
-
-    From on_minute when present, else 90 minus the minutes played, kept inside 0-90.
-    """
+def _substitutions(lineups: DataFrame) -> DataFrame:
     columns = lineups.columns
     if "on_minute" in columns:
         subs = lineups.where(~F.col("is_starter")) if "is_starter" in columns else lineups
@@ -98,27 +94,24 @@ def substitution_minutes(lineups: DataFrame) -> DataFrame:
     else:
         subs = lineups.where(~F.col("is_starter") & (F.col("minutes") > 0))
         minute = F.greatest(F.lit(0.0), F.least(F.lit(90.0), 90 - F.col("minutes").cast("double")))
-    return subs.select("match_id", minute.alias("minute")).where(F.col("minute") > 0).distinct()
+    return subs.select("match_id", minute.alias("minute")).where(F.col("minute") > 0)
 
 
-def _state_rows(df: DataFrame, minute: Column, is_home: Column, kind: str) -> DataFrame:
-    home, away = flag(is_home), flag(~is_home)
-    zero = F.lit(0)
-    return df.select(
-        "match_id",
-        minute.cast("double").alias("minute"),
-        (home if kind == "goal" else zero).alias("goals_home"),
-        (away if kind == "goal" else zero).alias("goals_away"),
-        (home if kind == "red" else zero).alias("reds_home"),
-        (away if kind == "red" else zero).alias("reds_away"),
-    ).where(F.col("minute").isNotNull())
+def substitution_minutes(lineups: DataFrame) -> DataFrame:
+    """Distinct (match_id, minute) at which substitutes came on.
 
+    From on_minute when present, else 90 minus the minutes played, kept inside 0-90.
+    """
+    return _substitutions(lineups).distinct()
+
+
+# Goals and reds come from a first source, and from a second one for matches the first is silent about.
+_SOURCES = {"goals": ("event_goals", "shot_goals"), "reds": ("event_reds", "card_reds")}
 
-def _with_fallback(first: DataFrame | None, second: DataFrame | None) -> list[DataFrame]:
-    """Rows of `first`, and of `second` for matches `first` says nothing about."""
-    if first is None or second is None:
-        return [df for df in (first, second) if df is not None]
-    return [first, second.join(first.select("match_id").distinct(), "match_id", "left_anti")]
+
+def _counts(kind: str, hit: Column, is_home: Column) -> dict[str, Column]:
+    """Number of hits, and those of either side."""
+    return {kind: flag(hit), f"{kind}_home": flag(hit & is_home), f"{kind}_away": flag(hit & ~is_home)}
 
 
 def _marks(
@@ -131,54 +124,71 @@ def _marks(
     include_goals: bool,
     include_halftime: bool,
 ) -> DataFrame:
-    """Every boundary with the goals and reds on it, and every shot minute, as one row per minute."""
+    """One row per match and minute: whether it is a boundary, goals and reds by source, chances.
+
+    Every input is read once; rows combine map-side before the shuffle.
+    """
     ends = [F.lit(0.0), F.col("match_end")] + ([F.col("first_half_end")] if include_halftime else [])
-    bounds = [clock.select("match_id", F.explode(F.array(*ends)).alias("minute"))]
+    parts = [clock.select("match_id", F.explode(F.array(*ends)).alias("minute"), F.lit(1).alias("boundary"))]
     homes = results.select("match_id", "home_team")
-    event_goals = event_reds = None
+    minute = lambda c: F.col(c).try_cast("double").alias("minute")
     if events is not None:
         events = flagged_events(events)
-        of = lambda c: events.where(F.col(c))
-        bounds.append(of("is_sub").select("match_id", F.col("minute").cast("double").alias("minute")))
-        if include_goals:
-            event_goals = _state_rows(of("is_goal"), F.col("minute"), F.col("is_home"), "goal")
-        event_reds = _state_rows(of("is_red_card"), F.col("minute"), F.col("is_home"), "red")
-    shot_goals = card_reds = None
-    if include_goals and shots is not None:
-        scored = shots.where(F.col("is_goal")).join(homes, "match_id", "left")
-        shot_goals = _state_rows(scored, F.col("minute"), F.col("team") == F.col("home_team"), "goal")
-    cards = next((t for t in (lineups, stats) if t is not None and "crd_r" in t.columns), None)
-    if cards is not None:
-        when = next(c for c in ("off_minute", "minutes", "min") if c in cards.columns)
-        booked = cards.where(F.col("crd_r").try_cast("double") > 0).join(homes, "match_id", "left")
-        minute = F.col(when).try_cast("double")
-        card_reds = _state_rows(
-            booked.where(minute > 0), minute, F.col("team") == F.col("home_team"), "red"
+        goal = F.coalesce(F.col("is_goal"), F.lit(False)) if include_goals else F.lit(False)
+        red, sub = (F.coalesce(F.col(c), F.lit(False)) for c in ("is_red_card", "is_sub"))
+        counts = {**_counts("event_goals", goal, F.col("is_home")), **_counts("event_reds", red, F.col("is_home"))}
+        rows = events.where(goal | red | sub)
+        parts.append(
+            rows.select("match_id", minute("minute"), F.lit(1).alias("boundary"), *[v.alias(c) for c, v in counts.items()])
         )
-    if lineups is not None:
-        bounds.append(substitution_minutes(lineups))
-    parts = _with_fallback(event_goals, shot_goals) + _with_fallback(event_reds, card_reds)
-    parts = [p.withColumn("boundary", F.lit(1)) for p in parts]
-    parts += [b.withColumn("boundary", F.lit(1)) for b in bounds]
     if shots is not None:
-        open_play = shots.where(~F.col("is_penalty")).join(homes, "match_id", "left")
+        sided = shots.join(homes, "match_id")
         at_home = F.col("team") == F.col("home_team")
+        goal = F.coalesce(F.col("is_goal"), F.lit(False)) if include_goals else F.lit(False)
+        chance = lambda side: F.when(~F.col("is_penalty") & side, F.col("xg"))
         parts.append(
-            open_play.select(
+            sided.select(
                 "match_id",
-                F.col("minute").cast("double").alias("minute"),
-                F.when(at_home, F.col("xg")).alias("npxg_home"),
-                F.when(~at_home, F.col("xg")).alias("npxg_away"),
+                minute("minute"),
                 F.lit(0).alias("boundary"),
+                *[v.alias(c) for c, v in _counts("shot_goals", goal, at_home).items()],
+                chance(at_home).alias("npxg_home"),
+                chance(~at_home).alias("npxg_away"),
+            )
+        )
+    cards = next((t for t in (lineups, stats) if t is not None and "crd_r" in t.columns), None)
+    if cards is not None:
+        when = next(c for c in ("off_minute", "minutes", "min") if c in cards.columns)
+        booked = cards.where((F.col("crd_r").try_cast("double") > 0) & (F.col(when).try_cast("double") > 0))
+        counts = _counts("card_reds", F.lit(True), F.col("team") == F.col("home_team"))
+        parts.append(
+            booked.join(homes, "match_id").select(
+                "match_id", minute(when), F.lit(0).alias("boundary"), *[v.alias(c) for c, v in counts.items()]
             )
         )
+    if lineups is not None:
+        parts.append(_substitutions(lineups).withColumn("boundary", F.lit(1)))
     marks = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    wanted = STATE + ["npxg_home", "npxg_away"]
+    names = [f"{k}{side}" for pair in _SOURCES.values() for k in pair for side in ("", "_home", "_away")]
     sums = [
-        F.coalesce(F.sum(c) if c in marks.columns else F.lit(None), F.lit(0)).alias(c) for c in wanted
+        F.coalesce(F.sum(c) if c in marks.columns else F.lit(None).cast("bigint"), F.lit(0)).alias(c)
+        for c in names + ["npxg_home", "npxg_away"]
     ]
-    known = marks.where(F.col("minute").isNotNull()).join(results.select("match_id").distinct(), "match_id", "left_semi")
-    return known.groupBy("match_id", "minute").agg(F.max("boundary").alias("boundary"), *sums)
+    per_minute = (
+        marks.where(F.col("minute").isNotNull())
+        .groupBy("match_id", "minute")
+        .agg(F.max("boundary").alias("boundary"), *sums)
+        .join(results.select("match_id"), "match_id", "left_semi")
+    )
+    # Settle the source per match; the window holds one row per clock value.
+    whole = W.partitionBy("match_id")
+    settled, bounds = {}, F.col("boundary") == 1
+    for kind, (first, second) in _SOURCES.items():
+        told = F.sum(first).over(whole) > 0
+        for side in ("home", "away"):
+            settled[f"{kind}_{side}"] = F.when(told, F.col(f"{first}_{side}")).otherwise(F.col(f"{second}_{side}"))
+        bounds = bounds | (F.col(first) > 0) | (~told & (F.col(second) > 0))
+    return per_minute.withColumns({**settled, "boundary": bounds.cast("int")}).drop(*names)
 
 
 def build_segments(
