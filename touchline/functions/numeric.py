@@ -48,3 +48,10 @@ def bin_index(p, n_bins: int) -> Column:
 def positive_only(x, y) -> Column:
     """x / y where y > 0, else 0."""
     return F.when(col(y) > 0, F.try_divide(col(x), col(y))).otherwise(F.lit(0.0))
+
+
+def correlation(x, y) -> Column:
+    """Pearson correlation over complete pairs; NULL when one side does not vary."""
+    x, y = col(x), col(y)
+    spread = F.stddev_samp(F.when(y.isNotNull(), x)) * F.stddev_samp(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_samp(x, y), spread)

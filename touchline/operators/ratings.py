@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from touchline.functions.names import matches_text
-from touchline.functions.numeric import safe_divide
+from touchline.functions.numeric import correlation, safe_divide
 from touchline.operators.design import Design
 from touchline.operators.ranking import with_ranks
 from touchline.operators.ridge import RidgeFit, fit_ridge, fit_ridge_with_prior, prior_table
@@ -248,9 +248,9 @@ def rating_agreement(
     spread = lambda c, out: [F.avg(c).alias(f"{out}_mean"), F.stddev_samp(c).alias(f"{out}_sd")]
     return complete.agg(
         F.count(F.lit(1)).alias("n_players"),
-        F.corr(rating, "rapm").alias("rating_rapm_cor"),
-        F.corr(rating, "spm").alias("rating_spm_cor"),
-        F.corr("rapm", "spm").alias("rapm_spm_cor"),
+        correlation(rating, "rapm").alias("rating_rapm_cor"),
+        correlation(rating, "spm").alias("rating_spm_cor"),
+        correlation("rapm", "spm").alias("rapm_spm_cor"),
         *spread(rating, "rating"),
         *spread("rapm", "rapm"),
         *spread("spm", "spm"),
@@ -267,7 +267,7 @@ def predictive_power(
     miss = F.col("_r") - F.col("_next")
     return joined.agg(
         F.count(F.lit(1)).alias("n_matched"),
-        F.corr("_r", "_next").alias("correlation"),
+        correlation("_r", "_next").alias("correlation"),
         F.sqrt(F.avg(miss * miss)).alias("rmse"),
     ).where(F.col("n_matched") >= min_players)
 
@@ -393,7 +393,7 @@ def compare_runs(first: DataFrame, second: DataFrame, key: str = "player_id", ra
 
 def run_correlation(first: DataFrame, second: DataFrame, key: str = "player_id", rating: str = "rapm") -> DataFrame:
     compared = compare_runs(first, second, key, rating)
-    return compared.agg(F.count(F.lit(1)).alias("n_players"), F.corr("first", "second").alias("correlation"))
+    return compared.agg(F.count(F.lit(1)).alias("n_players"), correlation("first", "second").alias("correlation"))
 
 
 def season_consistency(seasonal: DataFrame, rating: str = "xrapm", min_seasons: int = 1) -> DataFrame:
@@ -433,7 +433,7 @@ def stat_agreement(first: DataFrame, second: DataFrame, stats: list[str], key: s
         joined.select(F.explode(pairs).alias("p"))
         .select("p.*")
         .groupBy("stat")
-        .agg(F.count(F.lit(1)).alias("n_players"), F.corr("a", "b").alias("correlation"))
+        .agg(F.count(F.lit(1)).alias("n_players"), correlation("a", "b").alias("correlation"))
     )
 
 
