@@ -181,7 +181,7 @@ def kneser_ney(counts: list[tuple[str, int, int]], languages: list[str]) -> Mode
     return Models(languages, known, logs, backs, floor, np.full(len(languages), np.inf))
 
 
-def learn(labelled: DataFrame, chars: int = 6_000_000, most_languages: int = 200, spread: float = 1.25) -> Models:
+def learn(labelled: DataFrame, chars: int = 6_000_000, most_languages: int = 200, spread: float = 1.5) -> Models:
     """Models from about `chars` characters a language (all texts of a language with fewer), whole texts chosen by hash.
 
     The sample bounds the model, so it may be sent to every task. The rejection level is fitted on the same texts: the
