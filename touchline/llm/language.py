@@ -203,14 +203,14 @@ def learn(labelled: DataFrame, chars: int = 6_000_000, most_languages: int = 200
     return models
 
 
-def predictions(docs: DataFrame, models: Models, passing: tuple[str, ...] = ()) -> DataFrame:
-    """`doc_id, lang_pred, score, entropy, rejected` (and `passing` columns) per row, from the text alone.
+def predictions(docs: DataFrame, models: Models) -> DataFrame:
+    """`row` (a struct of all columns), `lang_pred, score, entropy, rejected` per row, from the text alone.
 
     `score` is the posterior of the best language when each text counts as at most 40 characters. Without text,
     letters or languages the answer is `und`, score 0, rejected. Very short texts are rejected only far above the level.
     """
     languages = models.languages
-    rows = docs.select("doc_id", *passing, text_or_empty().alias("t"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty().alias("t"))
 
     def run(batches):
         for b in batches:
@@ -227,12 +227,12 @@ def predictions(docs: DataFrame, models: Models, passing: tuple[str, ...] = ())
             else:
                 names, scores, low, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], *(b[c] for c in passing), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.float64(), from_pandas=True), pa.array(out, pa.bool_())],
-                ["doc_id", *passing, "lang_pred", "score", "entropy", "rejected"],
+                [b["row"], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.float64(), from_pandas=True), pa.array(out, pa.bool_())],
+                ["row", "lang_pred", "score", "entropy", "rejected"],
             )
 
     nothing = F.lit(None)
-    schema = rows.select("doc_id", *passing, nothing.cast("string").alias("lang_pred"), nothing.cast("double").alias("score"), nothing.cast("double").alias("entropy"), nothing.cast("boolean").alias("rejected")).schema
+    schema = rows.select("row", nothing.cast("string").alias("lang_pred"), nothing.cast("double").alias("score"), nothing.cast("double").alias("entropy"), nothing.cast("boolean").alias("rejected")).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -247,5 +247,5 @@ def identify(docs: DataFrame, **settings) -> DataFrame:
     A null id is in no fold: it is neither learned from nor held out (false).
     """
     models = learn(docs.filter(fold() != 0), **settings)
-    got = predictions(docs, models)
+    got = predictions(docs.select("doc_id", "text"), models).withColumn("doc_id", F.col("row.doc_id"))
     return got.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import embeddings, language, minhash, token_counts, token_files, warc
+from touchline.llm import bpe, embeddings, fingerprints, html_text, language, minhash, mixing, token_counts, token_files, warc
 from touchline.llm.common import table
 
 
@@ -12,6 +13,10 @@ def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,24 @@ def minhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the mixed tokens.
+WEIGHTS = {"high": 0.8, "low": 0.12, "toxic": 0.08}
+
+
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, WEIGHTS)
+    return got.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "domain", "posteriors", "rate")
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -93,8 +116,12 @@ FROM documents d JOIN (SELECT node, min(seen) AS low FROM r GROUP BY node) c ON
 
 QUERIES = {
     "op1_embedding_links": embedding_links,
+    "op2_page_texts": page_texts,
     "op3_token_shards": token_shards,
     "op4_minhash_copies": minhash_copies,
+    "op5_mixed_sources": mixed_sources,
+    "op6_byte_bpe": byte_bpe,
+    "op7_document_fingerprints": document_fingerprints,
     "op8_whole_token_counts": whole_token_counts,
     "op9_language_predictions": language_predictions,
     "op10_warc_records": warc_records,
