@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write to the shared folder and read again: later steps neither repeat the work nor depend on an executor."""
     folder = f"{shared_folder(df.sparkSession, name)}/table"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
