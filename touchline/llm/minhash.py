@@ -55,7 +55,7 @@ def in_blocks(members: DataFrame, size: int) -> DataFrame:
     """Deals each bucket's members (`band, key, node, ...`) to pairs of blocks of about `size`, sorted group by group."""
     counts = cut(members.groupBy("band", "key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")), "blocks")
     rows = (
-        members.join(counts, ["band", "key"])
+        members.join(counts.hint("merge"), ["band", "key"])
         .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
@@ -154,6 +154,8 @@ def near_copies(docs: DataFrame, percent: int = 85, least: float = 0.73, bands:
     A link at exactly 0.85 is missed with a probability below 1e-5 by the bands (25 of 6 minima) and below 1e-4 by the signature
     (150 minima, 0.73 must agree); more alike pairs far less. Documents without words link with nothing. Null text is
     empty, a null id is a component of its own (null, kept), rows that repeat an id count as one document with several texts.
+
+    The joins are merged at every size: no side has a bound, and small tables take the plan that large ones need.
     """
     drawn = cut(sketches(docs, bands, rows), "sketches")
     full = drawn.filter("n_shingles > 0 and doc_id is not null")
@@ -161,13 +163,13 @@ def near_copies(docs: DataFrame, percent: int = 85, least: float = 0.73, bands:
     reps = cut(full.join(classes, (full.digest == classes.digest) & (full.doc_id == classes.node)).select("node", "bands", "signature"), "representatives")
     spread = reps.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = cut(spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
-    members = cut(spread.join(buckets, ["band", "key"]), "members")
-    hopeful = cut(hopeful_members(in_blocks(members.join(reps, "node"), block), least).distinct(), "hopeful")
+    members = cut(spread.join(buckets.hint("merge"), ["band", "key"]), "members")
+    hopeful = cut(hopeful_members(in_blocks(members.hint("merge").join(reps, "node"), block), least).distinct(), "hopeful")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("t"))
-    links = cut(confirmed_links(in_blocks(hopeful.join(texts, "node"), text_block), percent, least, bands, rows), "links")
+    links = cut(confirmed_links(in_blocks(hopeful.hint("merge").join(texts, "node"), text_block), percent, least, bands, rows), "links")
     known = classes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = drawn.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     component = F.coalesce("component", "doc_id")
-    return out.join(cut(known, "known"), "digest", "left").select(
+    return out.join(cut(known, "known").hint("merge"), "digest", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
