@@ -22,7 +22,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; of rows that repeat an id (or, without id, a text), one."""
     copies = cut(minhash.near_copies(docs).filter("not kept").select("doc_id"), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    # merged at every size, as the copies have no bound
+    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     without_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     return kept.withColumn("__text_of_no_id", without_id).dropDuplicates(["doc_id", "__text_of_no_id"]).drop("__text_of_no_id")
 
