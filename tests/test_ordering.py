@@ -31,7 +31,7 @@ def test_primitives(spark, data):
         )
 
     plain = split_hot(df, order, build, hot=HotGroups([]))
-    hot = hot_groups(df, ("match_id",), min_rows=40, share=0.001)
+    hot = hot_groups(df, ("match_id",), min_rows=40)
     assert any(r["match_id"] == 7 for r in hot.rows)
     assert rows(plain, "action_id") == rows(split_hot(df, order, build, hot=hot), "action_id")
 
@@ -42,7 +42,7 @@ def test_no_hot_groups_by_default(spark, data):
 
 def test_conversion_and_chains(spark, data):
     df = skewed(match_events(spark, data).withColumn("_n", F.col("event_id")))
-    hot = hot_groups(df, ("match_id",), min_rows=40, share=0.001)
+    hot = hot_groups(df, ("match_id",), min_rows=40)
     for h in (hot,):
         plain = A.to_actions(df, hot=HotGroups([]))
         chunked = A.to_actions(df, hot=h)

@@ -37,7 +37,10 @@ def test_closed_form_and_wide_path(design):
     want = closed_form(design, fit.lambda_min, fit.columns, fit.covariates)
     assert np.abs(fit.at("min") - want).max() < 1e-10
     assert fit.lambda_1se >= fit.lambda_min
-    wide = G.fit_ridge(design, lambdas=[0.05], n_folds=2, max_gram_features=5)
+    wide = G.fit_ridge(design, lambdas=[0.05], n_folds=2, solver="l-bfgs")
+    narrow_path = G.fit_ridge(design, n_lambdas=3, n_folds=2)
+    wide_path = G.fit_ridge(design, n_lambdas=3, n_folds=2, solver="l-bfgs")
+    assert np.allclose(narrow_path.lambdas, wide_path.lambdas, rtol=1e-9)
     assert np.abs(wide.at(0.05) - closed_form(design, 0.05, wide.columns, wide.covariates)).max() < 1e-5
 
 

@@ -49,6 +49,38 @@ def test_append_only_unseen(spark, folder):
     assert spark.read.parquet(f"{folder}/all").where("extra is null").count() == 6
 
 
+def test_append_keeps_rows_of_a_split_match(spark, folder):
+    path, parts = f"{folder}/split", ["competition", "season"]
+    two = rows(spark, 1, 2)
+    I.append_unseen(two, path, ["match_id"], parts)
+    late = rows(spark, 2, 1).withColumn("goals", F.lit(99).cast(two.schema["goals"].dataType))
+    assert I.append_unseen(late, path, ["match_id"], parts).count() == 1
+    assert I.append_unseen(late, path, ["match_id"], parts).count() == 0
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_season_labels_stay_text_and_a_schema_is_applied(spark, folder):
+    rows(spark, 0, 2).drop("season").withColumn("season", F.lit(2024)).write.partitionBy("season").parquet(f"{folder}/a/summary")
+    df = T.read_table(spark, folder, "a", "summary", filters={"season": "2024"})
+    assert dict(df.dtypes)["season"] == "string" and df.count() == 2
+    schema = df.select("match_id", "season").schema
+    assert T.read_table(spark, folder, "a", "summary", schema=schema).schema.fieldNames() == ["match_id", "season"]
+
+
+def test_skipped_files_by_full_path(spark, folder):
+    import os
+
+    frame = rows(spark, 0, 2)
+    for name in ("x", "y"):
+        os.makedirs(f"{folder}/{name}")
+        frame.toPandas().to_parquet(f"{folder}/{name}/same.parquet")
+    frame.toPandas().head(0).to_parquet(f"{folder}/empty.parquet")
+    with open(f"{folder}/y/same.parquet", "wb") as f:
+        f.write(b"no parquet")
+    paths = [f"{folder}/x/same.parquet", f"{folder}/y/same.parquet", f"{folder}/empty.parquet"]
+    assert I.skipped_files(spark, paths, frame.schema) == [paths[1]]
+
+
 def test_file_stream_appends_unseen(spark, folder):
     from touchline.streaming.ingest import stream_unseen
 

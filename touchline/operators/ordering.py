@@ -17,8 +17,6 @@ from touchline.session import cut_lineage
 
 CHUNK = "_chunk"
 HOT_ROWS = 2_000_000
-HOT_SHARE = 1 / 1000
-MAX_CHUNKS = 1024
 
 
 @dataclass(frozen=True)
@@ -194,25 +192,22 @@ def _all(conditions: list[Column]) -> Column:
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Groups too large for one task: rows of key values with `count`, at most 1/HOT_SHARE of them."""
+    """Groups too large for one task: rows of key values with `count`, fewer than one per `chunk_rows` rows of the table."""
 
     rows: list
     chunk_rows: int = HOT_ROWS
 
 
 def hot_groups(
-    df: DataFrame, keys: tuple[str, ...], min_rows: int = HOT_ROWS, share: float = HOT_SHARE
+    df: DataFrame, keys: tuple[str, ...], min_rows: int = HOT_ROWS
 ) -> HotGroups:
-    """Groups with more than `min_rows` rows and more than `share` of all rows.
+    """Groups with more than `min_rows` rows, whatever their share of the table.
 
     One count by key, combined map-side. Find them once on the source and hand the result to
     every operator of a plan, so the check is not repeated on derived tables.
     """
     big = df.groupBy(*keys).count().where(F.col("count") > min_rows)
-    if not big.take(1):
-        return HotGroups([], min_rows)
-    total = df.count()
-    return HotGroups(big.where(F.col("count") > total * share).collect(), min_rows)
+    return HotGroups(big.collect(), min_rows)
 
 
 def split_hot(
@@ -223,8 +218,9 @@ def split_hot(
 ) -> DataFrame:
     """Run `build` with whole-group windows on cold groups and chunked ones on hot groups.
 
-    There are at most 1/HOT_SHARE hot groups, each with at most MAX_CHUNKS bounds, so the
-    table sent to all executors has a fixed size limit. Rows with equal position share a chunk.
+    A group gets as many chunks as its rows need. Hot keys and bounds are one number per `chunk_rows` rows; their joins
+    carry no broadcast hint, so adaptive execution sends them only while they are small. Rows with
+    equal position share a chunk.
     """
     if hot is None:
         hot = hot_groups(df, ordering.keys)
@@ -237,10 +233,10 @@ def split_hot(
     hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot.rows], T.StructType(key_fields))
     hot_keys = hot_keys.withColumnsRenamed({k: f"_h_{k}" for k in keys})
     same = _all([F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
-    cold_rows = df.join(F.broadcast(hot_keys), on=same, how="left_anti")
-    hot_rows = df.join(F.broadcast(hot_keys), on=same, how="left_semi")
+    cold_rows = df.join(hot_keys, on=same, how="left_anti")
+    hot_rows = df.join(hot_keys, on=same, how="left_semi")
 
-    pieces = min(MAX_CHUNKS, ceil(max(r["count"] for r in hot.rows) / hot.chunk_rows) + 1)
+    pieces = ceil(max(r["count"] for r in hot.rows) / hot.chunk_rows) + 1
     cuts = [i / pieces for i in range(1, pieces)]
     position = F.expr(ordering.position).cast("double")
     bounds = hot_rows.groupBy(*keys).agg(F.percentile_approx(position, cuts).alias("_cuts")).collect()
@@ -250,7 +246,7 @@ def split_hot(
     ).withColumnsRenamed({k: f"_h_{k}" for k in keys})
     chunked = (
         hot_rows.withColumn("_position", position)
-        .join(F.broadcast(bound_table), on=same, how="inner")
+        .join(bound_table, on=same, how="inner")
         .withColumn(CHUNK, F.size(F.filter("_cuts", lambda b: b < F.col("_position"))))
         .drop("_cuts", "_position", *[f"_h_{k}" for k in keys])
     )

@@ -8,6 +8,7 @@ from touchline.operators import elo as EL, evaluate as EV, lineups as LU, predic
 from touchline.operators.ordering import hot_groups
 from touchline.operators.skill_profile import find_player, skill_profile, suggest_names
 from touchline.queries.roles import rounded, table
+from touchline.session import cut_lineage
 
 
 def player_matches(spark, folder):
@@ -128,7 +129,7 @@ def skill_parameter_losses(spark, folder):
 
 
 def _skill_table(spark, folder):
-    return SK.player_skills(player_matches(spark, folder), DAY, stats=STATS).persist()
+    return SK.player_skills(player_matches(spark, folder), DAY, stats=STATS)
 
 
 def skill_percentiles(spark, folder):
@@ -362,14 +363,16 @@ def fixture_scores(spark, folder):
     return P.score_fixtures(_predictions(spark, folder).withColumn("match_id", F.col("doc_id"))).drop("league")
 
 
-_FEATURES = ["home_team", "away_team", "home_xg", "away_xg"]
+_FEATURES = [f"{side}_{m}_last_5" for side in ("home", "away") for m in ("goals_scored", "goals_conceded", "xg_for", "points")] + ["is_early_season"]
 
 
 def match_forecast(spark, folder):
-    games = P.structural_features(RO.impute_xg(results(spark, folder)), []).persist()
+    """Forecast from form before kick-off."""
+    played = RO.impute_xg(results(spark, folder))
+    games = cut_lineage(P.impute_form(P.structural_features(played.join(RO.rolling_form(played, windows=(5,)), "match_id", "left"), [])))
     played = games.where("match_status = 'Played'")
     home, away = P.fit_goals(played, _FEATURES, "home_goals"), P.fit_goals(played, _FEATURES, "away_goals")
-    stacked = P.out_of_fold_goals(played, _FEATURES, n_folds=3)
+    stacked = P.out_of_fold_goals(played, _FEATURES)
     outcome = P.fit_outcome(stacked, _FEATURES + P.GOAL_FEATURES)
     fixtures = games.where("match_status = 'Fixture'")
     return P.score_fixtures(P.predict_matches(fixtures, home, away, outcome))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from touchline.functions import names as N
 from touchline.operators import boxscore as B, elastic_net as E, rates as R, views as V
 from touchline.queries.roles import rounded, table
+from touchline.session import cut_lineage
 
 # raw column of a source, by the expression over a line item that stands in for it
 LINE_A = {
@@ -167,19 +168,19 @@ def _fit_data(spark, folder):
 
 
 def box_score_model(spark, folder):
-    data = _fit_data(spark, folder).persist()
-    fit = E.fit_feed_model(data, n_lambdas=20, n_folds=5)
+    data = cut_lineage(_fit_data(spark, folder))
+    fit = E.fit_feed_model(data)
     return E.feature_importance(fit, n=10)
 
 
 def box_score_scores(spark, folder):
-    data = _fit_data(spark, folder).persist()
-    fit = E.fit_elastic_net(data, n_lambdas=20, n_folds=5)
+    data = cut_lineage(_fit_data(spark, folder))
+    fit = E.fit_elastic_net(data)
     return E.score_players(data, fit)
 
 
 def box_score_blend(spark, folder):
-    data = _fit_data(spark, folder).persist()
+    data = cut_lineage(_fit_data(spark, folder))
     columns = ["goals_p90", "pass_accuracy", "tackles_p90"]
     linear = E.score_players(data, E.fit_elastic_net(data, columns, n_lambdas=10, n_folds=3))
     trees = E.fit_boosted_boxscore(data, columns, n_folds=2, rounds=5, max_depth=3)

@@ -586,10 +586,10 @@ ORACLES = {
         total_minutes, round((a + r + o) / (total_minutes / 90), 4) AS epv_total_p90
       FROM j JOIN m USING (player_id, player_name) WHERE total_minutes >= 450""",
     "action_type_values": f"""
-      SELECT player_id, player_name, round(sum(player_credit) FILTER (action_type = 'pass'), 4) AS epv_passing,
-        round(sum(player_credit) FILTER (action_type = 'shot'), 4) AS epv_shooting,
-        round(sum(player_credit) FILTER (action_type = 'take_on'), 4) AS epv_dribbling,
-        round(sum(player_credit) FILTER (action_type IN ('tackle', 'interception', 'clearance')), 4) AS epv_defending
+      SELECT player_id, player_name, round(sum(player_credit) FILTER (action_type = 'pass'), 4) + 0.0 AS epv_passing,
+        round(sum(player_credit) FILTER (action_type = 'shot'), 4) + 0.0 AS epv_shooting,
+        round(sum(player_credit) FILTER (action_type = 'take_on'), 4) + 0.0 AS epv_dribbling,
+        round(sum(player_credit) FILTER (action_type IN ('tackle', 'interception', 'clearance')), 4) + 0.0 AS epv_defending
       FROM ({CREDITED}) WHERE action_type IN ('pass', 'shot', 'take_on', 'tackle', 'interception', 'clearance') GROUP BY ALL""",
     "pass_credit_split": f"""
       SELECT action_id, round(start_x / 100 * (1 - greatest(least(end_x / 100, 0.95), 0.05)), 6) AS passer_credit,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from touchline.functions import names as N, numeric as U, seasons as SE
 from touchline.operators import clean as C, design as D, ranking as K, ratings as RT, ridge as RG, validate as V
 from touchline.queries import lineups_and_segments as LS
+from touchline.queries.forecasts import RES
 from touchline.queries.roles import rounded, table
 from touchline.sources import catalog as CA, ingest as I, pages as P, payloads as J, tables as T
 
@@ -137,7 +138,7 @@ def available_tables(spark, folder):
 
 
 def null_profile(spark, folder):
-    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left").drop("text")
+    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     return V.completeness(joined, ["doc_id", "no_such_column"])
 
 
@@ -334,6 +335,35 @@ def ridge_cross_products(spark, folder):
     return numeric.groupBy("i", "j").agg((F.round(F.sum("s") / 1000, 4) + F.lit(0.0)).alias("s"))
 
 
+def _token_rows(spark, folder):
+    """Order lines as ridge rows: two 0/1 features, weights, matches of four lines or so."""
+    li = table(spark, folder, "lineitem")
+    on = lambda flag, name: F.when(F.col("l_returnflag") == flag, F.lit(name))
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), F.col("l_orderkey").alias("match_id"),
+        (F.col("l_extendedprice") / 1e4).alias("y"), F.col("l_quantity").cast("double").alias("weight"),
+        F.array_compact(F.array(on("A", "a_off"), on("R", "r_off"))).alias("tokens"),
+    )
+
+
+def _ridge_at(rows, lam):
+    from touchline.operators.design import Design
+
+    fit = RG.fit_ridge(Design(rows, None, [], []), lambdas=[lam], n_folds=2)
+    out = fit.table(lam).select("feature", "coefficient")
+    line = out.sparkSession.createDataFrame([("(intercept)", float(fit.intercepts[0]))], "feature string, coefficient double")
+    return rounded(out.unionByName(line))
+
+
+def ridge_one_feature(spark, folder):
+    rows = _token_rows(spark, folder)
+    return _ridge_at(rows.withColumn("tokens", F.filter("tokens", lambda t: t == "a_off")), 0.05)
+
+
+def ridge_two_features(spark, folder):
+    return _ridge_at(_token_rows(spark, folder), 0.2)
+
+
 def _part_ratings(spark, folder):
     p = table(spark, folder, "part")
     return p.select(
@@ -510,8 +540,8 @@ ORACLES = {
       SELECT o_orderkey AS match_id, 'metadata' || CASE WHEN bool_or(coalesce(l_returnflag = 'A', false)) THEN ',summary' ELSE '' END || CASE WHEN bool_or(coalesce(l_returnflag = 'N', false)) THEN ',shots' ELSE '' END
         || CASE WHEN bool_or(coalesce(l_linestatus = 'F', false)) THEN ',events' ELSE '' END AS tables_available FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
     "null_profile": """
-      WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT unnest(['doc_id', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS "column",
-        unnest([count(*) - count(doc_id), count(*) - count(lang), count(*) - count(source), count(*) - count(n_chars), count(*) - count(quality), count(*) - count(toxic)]) AS na_count, count(*) AS n FROM d)
+      WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), c AS (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS "column",
+        unnest([count(*) - count(doc_id), count(*) - count(text), count(*) - count(lang), count(*) - count(source), count(*) - count(n_chars), count(*) - count(quality), count(*) - count(toxic)]) AS na_count, count(*) AS n FROM d)
       SELECT "column", na_count, round(na_count / n * 100, 1) AS na_pct, na_count / n * 100 > 20 AS is_high, false AS is_missing FROM c UNION ALL SELECT 'no_such_column', NULL, NULL, NULL, true""",
     "season_coverage": """
       SELECT 'orders' AS "table", count(*) AS n_rows, min(year(o_orderdate)) AS min_season, max(year(o_orderdate)) AS max_season, count(DISTINCT year(o_orderdate)) AS n_seasons FROM orders
@@ -560,6 +590,19 @@ ORACLES = {
       {_WITH}, l AS (SELECT row_id, weight, unnest(['(one)', '(y)', 'gd', 'abs_goals', 'avg_min', 'is_home', 'net_players', 'abs_reds']) AS f,
         unnest([1.0, y, CAST(gd AS DOUBLE), CAST(abs_goals AS DOUBLE), avg_min, is_home, CAST(net_players AS DOUBLE), CAST(abs_reds AS DOUBLE)]) AS v FROM {_ROWS})
       SELECT a.f AS i, b.f AS j, round(sum(a.weight * a.v * b.v) / 1000, 4) + 0.0 AS s FROM l a JOIN l b ON a.row_id = b.row_id AND a.f <= b.f WHERE a.v <> 0 AND b.v <> 0 GROUP BY ALL""",
+    "ridge_one_feature": """
+      WITH r AS (SELECT l_quantity AS w, l_extendedprice / 1e4 AS y, CAST(l_returnflag = 'A' AS INT) AS a FROM lineitem),
+      m AS (SELECT sum(w * y) / sum(w) AS y, sum(w * a) / sum(w) AS a FROM r),
+      c AS (SELECT any_value(m.y) AS my, any_value(m.a) AS ma, sum(w * (r.a - m.a) ** 2) / sum(w) AS aa, sum(w * (r.a - m.a) * (r.y - m.y)) / sum(w) AS ay, sqrt(sum(w * (r.y - m.y) ** 2) / sum(w)) AS sd FROM r, m),
+      b AS (SELECT *, ay / (aa + 0.05 / sd) AS b FROM c)
+      SELECT 'a_off' AS feature, round(b, 6) AS coefficient FROM b UNION ALL SELECT '(intercept)', round(my - ma * b, 6) FROM b""",
+    "ridge_two_features": """
+      WITH r AS (SELECT l_quantity AS w, l_extendedprice / 1e4 AS y, CAST(l_returnflag = 'A' AS INT) AS a, CAST(l_returnflag = 'R' AS INT) AS r FROM lineitem),
+      m AS (SELECT sum(w * y) / sum(w) AS y, sum(w * a) / sum(w) AS a, sum(w * r) / sum(w) AS r FROM r),
+      c AS (SELECT any_value(m.y) AS my, any_value(m.a) AS ma, any_value(m.r) AS mr, sum(w * (r.a - m.a) ** 2) / sum(w) AS aa, sum(w * (r.r - m.r) ** 2) / sum(w) AS rr, sum(w * (r.a - m.a) * (r.r - m.r)) / sum(w) AS ar,
+        sum(w * (r.a - m.a) * (r.y - m.y)) / sum(w) AS ay, sum(w * (r.r - m.r) * (r.y - m.y)) / sum(w) AS ry, 0.2 / sqrt(sum(w * (r.y - m.y) ** 2) / sum(w)) AS p FROM r, m),
+      b AS (SELECT *, (ay * (rr + p) - ry * ar) / ((aa + p) * (rr + p) - ar ** 2) AS ba, (ry * (aa + p) - ay * ar) / ((aa + p) * (rr + p) - ar ** 2) AS br FROM c)
+      SELECT 'a_off' AS feature, round(ba, 6) AS coefficient FROM b UNION ALL SELECT 'r_off', round(br, 6) FROM b UNION ALL SELECT '(intercept)', round(my - ma * ba - mr * br, 6) FROM b""",
     "rating_comparison": f"""
       SELECT a.player_id, round(a.rating, 6) AS rating, round(a.rapm, 6) AS rapm, round(b.spm, 6) AS spm, round(a.rating - a.rapm, 6) AS rating_vs_rapm, round(a.rating - b.spm, 6) AS rating_vs_spm, round(a.rapm - b.spm, 6) AS rapm_vs_spm
       FROM {_P} a LEFT JOIN (SELECT * FROM {_P} WHERE season_end_year > 1996) b USING (player_id)""",
@@ -567,6 +610,13 @@ ORACLES = {
       SELECT count(*) AS n_players, round(corr(rating, rapm), 6) AS rating_rapm_cor, round(corr(rating, spm), 6) AS rating_spm_cor, round(corr(rapm, spm), 6) AS rapm_spm_cor, round(avg(rating), 6) AS rating_mean,
         round(stddev_samp(rating), 6) AS rating_sd, round(avg(rapm), 6) AS rapm_mean, round(stddev_samp(rapm), 6) AS rapm_sd, round(avg(spm), 6) AS spm_mean, round(stddev_samp(spm), 6) AS spm_sd FROM {_P} WHERE season_end_year > 1996""",
     "predictive_power": f"SELECT count(*) AS n_matched, round(corr(rating, rapm), 6) AS correlation, round(sqrt(avg((rating - rapm) ** 2)), 6) AS rmse FROM {_P}",
+    "team_validation": f"""
+      WITH k AS (SELECT CAST(home_team AS VARCHAR) AS h, CAST(away_team AS VARCHAR) AS a, home_xg - away_xg AS d FROM ({RES}) WHERE home_xg IS NOT NULL AND away_xg IS NOT NULL),
+      x AS (SELECT team, sum(d) AS total FROM (SELECT h AS team, d FROM k UNION ALL SELECT a, -d FROM k) GROUP BY team),
+      s AS (SELECT CAST(CAST(player_id AS BIGINT) % 90 AS VARCHAR) AS team, sum(rating) AS rating FROM {_P} GROUP BY 1),
+      j AS (SELECT team, total, rating FROM x JOIN s USING (team)),
+      r AS (SELECT *, rank() OVER (ORDER BY total DESC) + (count(*) OVER (PARTITION BY total) - 1) / 2 AS npxgd_rank, rank() OVER (ORDER BY rating DESC) + (count(*) OVER (PARTITION BY rating) - 1) / 2 AS rating_rank FROM j)
+      SELECT team, round(total, 4) AS total_npxgd, round(rating, 4) AS sum_rating, npxgd_rank, rating_rank, npxgd_rank - rating_rank AS rank_diff FROM r""",
     "rating_profiles": f"""
       SELECT player_id, CASE WHEN s > 0.7 THEN 'Offensive' WHEN s > 0.55 THEN 'Balanced-Offensive' WHEN s > 0.45 THEN 'Balanced' WHEN s > 0.3 THEN 'Balanced-Defensive' ELSE 'Defensive' END AS profile, player_name AS label
       FROM (SELECT *, o_rating / (o_rating + d_rating + 0.001) AS s FROM {_P})""",
@@ -605,5 +655,5 @@ ORACLES = {
       SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.1), 6) AS q10, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.95), 6) AS q95 FROM orders GROUP BY 1""",
     "most_frequent": "SELECT l_suppkey, arg_min(l_returnflag, (-n, l_returnflag)) AS flag FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1",
 }
-ROWS_ONLY = ["team_validation"]
+ROWS_ONLY: list[str] = []
 QUERIES = {name: globals()[name] for name in [*ORACLES, *ROWS_ONLY]}

@@ -2,10 +2,17 @@
 
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from touchline.session import cut_lineage
+
 PARTITIONS = ["league", "season"]
+WRITERS = 8
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -19,23 +26,44 @@ def unseen(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_unseen(new: DataFrame, path: str, keys: list[str] = ("match_id",), partitions: list[str] = PARTITIONS) -> DataFrame:
-    """Append rows of unseen matches to a partitioned table; returns what was appended.
+    """Append the rows that a partitioned table does not hold yet; returns them.
 
-    Only the key columns of the partitions at hand are read back.
+    Rows of unseen matches are appended whole. Of a match that is stored already, for instance because its
+    rows came in two batches, the rows that equal no stored row are appended, so a batch that runs
+    twice adds nothing and none is lost. Only stored matches of the partitions at hand are read back: their
+    values (one per league and season) become a partition filter. Each partition is written by up to
+    `WRITERS` tasks, dealt by match.
     """
     spark = new.sparkSession
-    keys = list(keys)
-    try:
-        existing = spark.read.parquet(path)
-        fresh = unseen(new, existing, keys)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        fresh = new
-    fresh.repartition(*partitions).write.mode("append").partitionBy(*partitions).parquet(path)
+    keys, partitions = list(keys), list(partitions)
+    fresh = new
+    if stored(spark, path):
+        at_hand = [tuple(r) for r in new.select(*partitions).distinct().collect()]
+        existing = spark.read.schema(new.schema).parquet(path).where(in_partitions(new, partitions, at_hand))
+        same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in new.columns])
+        seen = existing.join(new.select(*keys).distinct(), keys, "left_semi").select(*new.columns)
+        fresh = cut_lineage(new.alias("a").join(seen.alias("b"), same, "left_anti").select(*new.columns))
+    writer = F.pmod(F.xxhash64(*keys), F.lit(WRITERS))
+    fresh.repartition(*partitions, writer).write.mode("append").partitionBy(*partitions).parquet(path)
     return fresh
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there and holds files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(files.exists(place)) and len(files.listStatus(place)) > 0
+
+
+def in_partitions(df: DataFrame, partitions: list[str], values: list[tuple]):
+    """Condition on partition columns: one of the given combinations, NULL included."""
+    one = [
+        reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v).cast(df.schema[c].dataType)) for c, v in zip(partitions, row)])
+        for row in values
+    ]
+    return reduce(lambda a, b: a | b, one) if one else F.lit(False)
+
+
 def partition_report(table: DataFrame, key: str = "match_id", partitions: list[str] = PARTITIONS) -> DataFrame:
     """Matches and rows per partition."""
     return table.groupBy(*partitions).agg(F.count_distinct(key).alias("n_matches"), F.count(F.lit(1)).alias("n_rows"))
@@ -61,10 +89,24 @@ def read_cached(
 
 
 def skipped_files(spark: SparkSession, paths: list[str], schema: StructType) -> list[str]:
-    """Files that give no rows when corrupt ones are skipped."""
-    read = read_cached(spark, paths, schema, ignore_corrupt=True)
-    good = {r[0].rsplit("/", 1)[-1] for r in read.select(F.col("_metadata.file_path").alias("p")).distinct().collect()}
-    return [p for p in paths if p.rsplit("/", 1)[-1] not in good]
+    """Files that can't be read to the end, by their full path; a healthy file without rows is none of them."""
+
+    def bad(batches):
+        for b in batches:
+            kept = []
+            for p in b["path"]:
+                try:
+                    files, at = pafs.FileSystem.from_uri(p if "://" in p else f"file://{p}")
+                    with files.open_input_file(at) as f:
+                        for _ in pq.ParquetFile(f).iter_batches():
+                            pass
+                except (OSError, ValueError, pa.ArrowException):
+                    kept.append(p)
+            yield pd.DataFrame({"path": kept})
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    found = {r[0] for r in listed.mapInPandas(bad, "path string").collect()}
+    return [p for p in paths if p in found]
 
 
 def known_keys(*tables: DataFrame, keys: list[str] = ("league", "season", "match_id")) -> DataFrame:
@@ -86,13 +128,9 @@ def save_manifest(manifest: DataFrame, path: str) -> None:
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Stored manifest, empty when there is none."""
-    schema = "match_id int, league string, season string, scraped_at timestamp"
-    try:
+    if stored(spark, path):
         return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], "match_id int, league string, season string, scraped_at timestamp")
 
 
 def high_water_marks(manifest: DataFrame, leagues: DataFrame) -> DataFrame:

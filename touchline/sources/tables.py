@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from touchline.functions.seasons import start_year_label
 from touchline.sources.catalog import FEED_LEAGUES, feed_league
+from touchline.sources.ingest import stored
 
 # Tables per data family.
 TABLES_A = ["summary", "events", "shots", "metadata", "passing", "defense", "possession", "keeper"]
@@ -15,6 +16,9 @@ TABLES_B = ["roster", "shots", "metadata"]
 TABLES_C = ["player_stats", "shots", "shot_events", "events", "match_events", "lineups", "fixtures"]
 TOP_LEAGUES = ["ENG", "ESP", "GER", "ITA", "FRA"]
 
+# Partition columns whose values are labels, not numbers.
+SEASON_LABELS = ["season", "season_input"]
+
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -46,20 +50,23 @@ def read_table(
     columns: list[str] | None = None,
     schema: StructType | None = None,
     filters: dict | None = None,
+    merge: bool = True,
 ) -> DataFrame:
     """One table, laid out as `<root>/<source>/<table>/league=<l>/season=<s>` or as one dataset.
 
     Filters on league and season prune directories, others reach the parquet scan. Columns
-    missing from some files are NULL there. An absent table with a given schema reads as empty.
+    missing from some files are NULL there. A given schema is applied without reading footers, and an
+    absent table then reads as empty; without one, `merge` reads the footers of all files. Season labels
+    such as 2024 stay text.
     """
-    reader = spark.read.option("mergeSchema", "true")
-    # Season labels such as 2024 stay text.
-    try:
-        df = reader.parquet(table_path(root, source, table))
-    except Exception as e:
-        if schema is not None and "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    path = table_path(root, source, table)
+    if schema is not None:
+        df = spark.read.schema(schema).parquet(path) if stored(spark, path) else spark.createDataFrame([], schema)
+    else:
+        df = spark.read.option("mergeSchema", str(merge).lower()).parquet(path)
+    for c in SEASON_LABELS:
+        if c in df.columns and (schema is None or c not in schema.fieldNames()):
+            df = df.withColumn(c, F.col(c).cast("string"))
     condition = equal_to({k: v for k, v in (filters or {}).items()})
     if condition is not None:
         df = df.where(condition)
