@@ -126,15 +126,13 @@ class Models:
         return -sums / np.maximum(1, sizes)[:, None], sizes
 
 
-def kneser_ney(counts: list[tuple[str, int, int]], languages: list[str]) -> Models:
-    """Models from the counts of the highest order; lower orders count in how many longer grams a gram ends."""
-    own = {lang: ([], []) for lang in languages}
-    for lang, gram, n in counts:
-        own[lang][0].append(gram)
-        own[lang][1].append(n)
+def kneser_ney(counts: pa.Table, languages: list[str]) -> Models:
+    """Models from the counts (`lang, gram, n`) of the highest order; lower orders count in how many longer grams a gram ends."""
+    of = counts["lang"].to_numpy()
+    gram, number = counts["gram"].to_numpy(), counts["n"].to_numpy()
     by_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER)]
     for lang in languages:
-        grams, n = np.array(own[lang][0], np.int64).astype(np.uint64), np.array(own[lang][1], np.float64)
+        grams, n = gram[of == lang].astype(np.uint64), number[of == lang].astype(np.float64)
         order = np.argsort(grams)
         grams, n = grams[order], n[order]
         by_order[ORDER - 1].append((grams, n))
@@ -195,7 +193,7 @@ def learn(labelled: DataFrame, chars: int = 6_000_000, most_languages: int = 200
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = cut(rows.filter(draw < share), "language-sample")
     languages = sorted(r.lang for r in sizes)
-    models = kneser_ney([tuple(r) for r in gram_counts(sample).collect()], languages)
+    models = kneser_ney(gram_counts(sample).toArrow(), languages)
     quantiles = predictions(sample, models).groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.999, 10000).alias("q")).collect()
     for r in quantiles:
         if r.lang_pred in languages and r.q is not None:

@@ -62,11 +62,11 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = 20_000) -> Classifie
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([domain] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["domain", "feature", "n"])
 
-    counts = sample.mapInArrow(run, "domain string, feature long, n long").groupBy("domain", "feature").agg(F.sum("n").alias("n")).collect()
+    counts = sample.mapInArrow(run, "domain string, feature long, n long").groupBy("domain", "feature").agg(F.sum("n").alias("n")).toArrow()
     domains = sorted(sizes)
     table = np.ones((FEATURES, len(domains)))
-    for r in counts:
-        table[r.feature, domains.index(r.domain)] += r.n
+    columns = np.searchsorted(np.array(domains, object), counts["domain"].to_numpy())
+    np.add.at(table, (counts["feature"].to_numpy(), columns), counts["n"].to_numpy())
     logs = np.log(table / table.sum(axis=0))
     prior = np.log([sizes[d] / sum(sizes.values()) for d in domains])
     trial = Classifier(domains, prior, logs, 1.0)
