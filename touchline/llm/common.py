@@ -72,5 +72,12 @@ def per_file(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return df.repartition(max(1, len(rows))) if rows else df
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of so many rows, so that what a step makes of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

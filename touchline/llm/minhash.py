@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cut, tasks, text_or_empty
+from touchline.llm.common import cut, slices, tasks, text_or_empty
 from touchline.llm.components import components
 from touchline.llm.shingles import minima, overlap, shingle_set
 
@@ -41,7 +41,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         return len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(low, bands, rows), low.astype(np.uint8).tobytes()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             n, digest, keys, signature = zip(*map(one, b["t"].to_pylist()), strict=True) if b.num_rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())],

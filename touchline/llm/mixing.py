@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cut, text_or_empty
+from touchline.llm.common import cut, slices, text_or_empty
 from touchline.llm.shingles import HASHES
 
 FEATURES = 1 << 14
@@ -88,12 +88,12 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """`row` (a struct of all columns), `n_tokens` (words) and `posteriors` (array, in the order of the classifier's domains)."""
 
     def run(batches):
-        for b in batches:
-            words = [features(t) for t in b["t"].to_pylist()]
+        for b in slices(batches):
+            words = [features(t or "") for t in b["row"].field("text").to_pylist()]
             got = [classifier.posteriors(w).tolist() for w in words]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array([len(w) for w in words], pa.int64()), pa.array(got, pa.list_(pa.float64()))], ["row", "n_tokens", "posteriors"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty().alias("t"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     schema = rows.select("row", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("array<double>").alias("posteriors")).schema
     return rows.mapInArrow(run, schema)
 

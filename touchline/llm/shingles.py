@@ -10,7 +10,7 @@ import xxhash
 WORDS = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Most distinct words whose hashes a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):

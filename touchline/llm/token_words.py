@@ -20,7 +20,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most distinct pre-tokens that a worker remembers; the memory starts anew beyond it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 LETTERS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{L}", c))
 DIGITS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{N}", c))
 SPACES = "\t-\r \x85\xa0"
