@@ -143,7 +143,7 @@ def fit_rates(known: DataFrame, targets: np.ndarray, lower: float = 0.0, most_st
     return steps
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, most: int = 20_000) -> tuple[Classifier, list[list[float]]]:
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, growth: float = 1.25, most: int = 20_000) -> tuple[Classifier, list[list[float]]]:
     """The classifier and the steps that give every document its rate."""
     classifier = train(docs, labelled, most)
     domains = classifier.domains
@@ -153,17 +153,18 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     want = np.array([(weights or {}).get(d, 0.0 if weights else 1.0) for d in domains], float)
     want = want / want.sum() if want.sum() else np.ones(len(domains)) / len(domains)
     size = max((least * h / w for h, w in zip(have, want, strict=True) if w > 0 and h > 0), default=0.0)
+    size = min(size, max(least, growth) * have.sum())
     return classifier, fit_rates(known, size * want, lower)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, most: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, growth: float = 1.25, most: int = 20_000) -> DataFrame:
     """`row` (a struct of all columns), `n_tokens, posteriors, domain, rate` per document.
 
     `labelled` has `doc_id, domain`. `weights` are the domains' shares of the mixed tokens (equal ones if not given; domains without
-    a weight count as 0, unknown ones are ignored). The mix is the smallest in which every domain keeps `least` times its tokens;
-    no rate falls below `lower`. Null text is empty: no tokens, the prior's posteriors. Without labels there is one domain.
+    a weight count as 0, unknown ones are ignored). The mix is the smallest in which every domain keeps `least` times its tokens,
+    but at most `growth` times all tokens; no rate falls below `lower`. Null text is empty: no tokens, the prior's posteriors. Without labels there is one domain.
     """
-    classifier, steps = fit_mix(docs, labelled, weights, lower, least, most)
+    classifier, steps = fit_mix(docs, labelled, weights, lower, least, growth, most)
     best = F.get(F.array(*map(F.lit, classifier.domains)), (F.array_position("posteriors", F.array_max("posteriors")) - 1).cast("int"))
     return posteriors(docs, classifier).withColumns({"domain": best, "rate": rate(steps, lower)})
 
