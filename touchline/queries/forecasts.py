@@ -412,6 +412,53 @@ _BT = f"""
 _LL = lambda p: f"sum(weight * -(greatest(least(actual, 1 - 1e-8), 1e-8) * ln(greatest(least({p}, 1 - 1e-8), 1e-8)) + (1 - greatest(least(actual, 1 - 1e-8), 1e-8)) * ln(1 - greatest(least({p}, 1 - 1e-8), 1e-8)))) / sum(weight)"
 _SE = lambda p: f"sqrt(sum(weight * ({p} - actual) ** 2) / sum(weight))"
 _ACC = lambda p: f"round(CASE WHEN stat = 'goals_p90' THEN {_SE(p)} ELSE {_LL(p)} END, 6)"
+_LOSS_SUMS = lambda n, lam: f"sum(exp(-{lam} * date_diff('day', b.match_date, a.match_date)) * b.goals * b.mins / 90) AS x{n}, sum(exp(-{lam} * date_diff('day', b.match_date, a.match_date)) * b.mins / 90) AS w{n}"
+_LOSS = lambda n, k, lam, mean: f"SELECT CAST({k} AS DOUBLE) AS prior, CAST({lam} AS DOUBLE) AS lambda, round(sum(am * ((x{n} + {k} * {mean}) / ({k} + w{n}) - ag) ** 2) / sum(am), 6) AS loss FROM h"
+
+
+def _profile_line(stat, category, col, ratio):
+    """One line of the profile of player 17."""
+    fade = f"exp(-{0.002 if ratio else 0.003} * date_diff('day', match_date, DATE '{DAY}'))"
+    number = lambda e, on: e if on else "CAST(NULL AS DOUBLE)"
+    return f"""
+      SELECT '{category}' AS category, '{stat}' AS stat, '{'efficiency' if ratio else 'rate'}' AS type, round(any_value(me.{stat}), 4) AS skill, (SELECT round(avg({col}), 4) FROM own) AS raw_avg,
+        round(avg(k.{stat}), 4) AS league_avg, round(100 * avg(CAST(k.{stat} <= me.{stat} AS INT)), 1) AS league_pct,
+        round(avg(k.{stat}) FILTER (k.grp = me.grp), 4) AS pos_avg, round(100 * avg(CAST(k.{stat} <= me.{stat} AS INT)) FILTER (k.grp = me.grp), 1) AS pos_pct,
+        {number("(SELECT round(sum(mins / 90), 1) FROM own)", not ratio)} AS n90, {number(f"(SELECT round(sum({fade} * mins / 90), 1) FROM own)", not ratio)} AS w90,
+        {number("(SELECT round(sum(passes), 0) FROM own)", ratio)} AS attempts, {number(f"(SELECT round(sum({fade} * passes), 0) FROM own)", ratio)} AS w_attempts
+      FROM k, me"""
+
+
+_PROFILE = f"""
+  WITH k AS (SELECT player_id, grp, (cg * 2 + xg) / (2 + w90) AS goals_p90, (ct * 2 + xt) / (2 + w90) AS tackles_won_p90, (ca * 50 + xa) / (50 + wa) AS pass_accuracy FROM ({_SK})),
+  me AS (SELECT * FROM k WHERE player_id = 17), own AS (SELECT * FROM ({PM}) WHERE player_id = 17)
+  {_profile_line("goals_p90", "Attacking", "goals", False)} UNION ALL {_profile_line("tackles_won_p90", "Defending", "tackles", False)} UNION ALL {_profile_line("pass_accuracy", "Passing", "acc", True)}
+"""
+# Games in the order their teams allow: each step plays all games that are the next one of both teams.
+_ELOS = """
+  WITH RECURSIVE g AS (
+    SELECT o_orderkey // 2 AS match_id, min_by(o_custkey, o_orderkey) AS home, max_by(o_custkey, o_orderkey) AS away, max(CAST(o_orderdate AS DATE)) AS match_date,
+      CAST(floor(min_by(o_totalprice, o_orderkey) % 4) AS INT) AS hg, CAST(floor(max_by(o_totalprice, o_orderkey) % 4) AS INT) AS ag
+    FROM orders GROUP BY 1 HAVING min_by(o_custkey, o_orderkey) <> max_by(o_custkey, o_orderkey)
+  ), l AS (
+    SELECT match_id, team, row_number() OVER (PARTITION BY team ORDER BY match_date, match_id) AS k
+    FROM (SELECT match_id, match_date, home AS team FROM g UNION ALL SELECT match_id, match_date, away FROM g)
+  ), m AS (
+    SELECT g.*, h.k AS hk, a.k AS ak FROM g JOIN l h ON h.match_id = g.match_id AND h.team = home JOIN l a ON a.match_id = g.match_id AND a.team = away
+  ), r AS (
+    SELECT DISTINCT team, CAST(1 AS BIGINT) AS k, CAST(1500 AS DOUBLE) AS elo FROM l
+    UNION ALL
+    SELECT * FROM (
+      WITH p AS (
+        SELECT home, away, 20 * (ln(abs(hg - ag) + 1) + 1) * (CASE WHEN hg > ag THEN 1 WHEN hg = ag THEN 0.5 ELSE 0 END - 1 / (1 + 10 ** (-(x.elo + 65 - y.elo) / 400))) AS ch
+        FROM m JOIN r x ON x.team = home AND x.k = hk JOIN r y ON y.team = away AND y.k = ak
+      ), q AS (SELECT home AS team, ch FROM p UNION ALL SELECT away, -ch FROM p)
+      SELECT r.team, r.k + CASE WHEN ch IS NULL THEN 0 ELSE 1 END, r.elo + coalesce(ch, 0) FROM r LEFT JOIN q ON q.team = r.team WHERE EXISTS (SELECT 1 FROM q)
+    )
+  ), e AS (SELECT DISTINCT team, k, elo FROM r)
+  SELECT match_id, round(x.elo, 4) AS home_elo, round(y.elo, 4) AS away_elo, round(x.elo - y.elo, 4) + 0.0 AS elo_diff
+  FROM m JOIN e x ON x.team = home AND x.k = hk JOIN e y ON y.team = away AND y.k = ak
+"""
 _LONG = f"""(SELECT match_id, match_date, home_team AS team, true AS is_home, home_goals AS gs, away_goals AS gc, home_xg AS xf, away_xg AS xa FROM ({RES})
   UNION ALL SELECT match_id, match_date, away_team, false, away_goals, home_goals, away_xg, home_xg FROM ({RES}))"""
 
@@ -488,6 +535,12 @@ ORACLES = {
     "skill_backtest_accuracy": f"""
       SELECT stat, CASE WHEN stat = 'goals_p90' THEN 'rmse' ELSE 'logloss' END AS metric, {_ACC('predicted')} AS value, {_ACC('avg_predicted')} AS avg_value, {_ACC('last_predicted')} AS last_value,
         count(*) AS n_predictions FROM ({_BT}) GROUP BY stat""",
+    "match_elos": _ELOS,
+    "skill_percentiles": _PROFILE,
+    "skill_parameter_losses": f"""
+      WITH p AS ({PM}), h AS (SELECT a.player_id, a.match_id, any_value(a.goals) AS ag, any_value(a.mins) AS am, {_LOSS_SUMS(0, 0.003)}, {_LOSS_SUMS(1, 0.001)}
+        FROM p a JOIN p b ON a.player_id = b.player_id AND (b.match_date, b.match_id) < (a.match_date, a.match_id) WHERE a.mins > 0 GROUP BY a.player_id, a.match_id HAVING count(*) >= 5)
+      {_LOSS(0, 2.0, 0.003, 0.5)} UNION ALL {_LOSS(1, 10.0, 0.001, 0.4)}""",
     "context_adjustment": _CTX,
     "player_search": """
       SELECT 'Ána Üser' || c_custkey AS player_name, c_acctbal AS weighted_90s, c_custkey AS player_id FROM customer WHERE c_custkey IN (12, 77)
@@ -566,5 +619,5 @@ ORACLES = {
       SELECT doc_id AS match_id, round(n_chars % 7 / 3.0, 2) AS pred_home_goals, round(n_chars % 5 / 3.0, 2) AS pred_away_goals, round(h, 3) AS prob_H, round(d, 3) AS prob_D, round(a, 3) AS prob_A,
         ['H', 'D', 'A'][list_position([h, d, a], list_max([h, d, a]))] AS predicted_result FROM ({PRED})""",
 }
-ROWS_ONLY = ["skill_parameters", "skill_percentiles", "match_elos", "match_forecast", "skill_parameter_losses"]
+ROWS_ONLY = ["skill_parameters", "match_forecast"]
 QUERIES = {name: globals()[name] for name in [*ORACLES, *ROWS_ONLY]}
