@@ -368,3 +368,25 @@ def test_warc_round_trip_with_small_chunks(spark):
     chunks = warc.chunk_table(pages, chunk_bytes=100).filter("page_id = 3").orderBy("chunk_no").collect()
     assert b"".join(bytes(r.data) for r in chunks).decode() == rows[0][2] and chunks[-1].digest == digests[3] and max(len(r.data) for r in chunks) <= 100
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
+
+
+def test_mixing_rates_converge_at_a_bound(spark):
+    """Rates of 1 at least, a mix of about twice all tokens: the loss of accelerated projected gradient run to its end."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.15, 0.1], 300)
+    n = rng.integers(1, 50, 300)
+    have, everything = n @ p, n.sum()
+    want = np.array([0.5, 0.3, 0.2])
+    targets = (have / want).max() * want
+    safe = np.linalg.eigvalsh((p * n[:, None]).T @ p / everything)[-1]
+    r = y = np.ones(300)
+    pace = 1.0
+    for _ in range(20_000):
+        new = np.maximum(1.0, y - p @ ((y * n) @ p - targets) / everything / safe)
+        after = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        r, y, pace = new, new + (pace - 1) / after * (new - r), after
+    known = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posteriors array<double>")
+    steps = mixing.fit_rates(known, targets, lower=1.0)
+    rates = np.array([x.rate for x in known.withColumn("rate", mixing.rate(steps, 1.0)).collect()])
+    loss = lambda x: ((((x * n) @ p - targets) / everything) ** 2).sum()
+    assert rates.min() >= 1 and loss(rates) <= loss(r) + 1e-5

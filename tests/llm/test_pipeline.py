@@ -1,6 +1,7 @@
 """The pipeline's stages, each judged on its own input."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import language
 from touchline.llm.common import cut
+from touchline.llm.queries import WEIGHTS
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +67,17 @@ def test_stages_take_odd_and_empty_tables(spark, stages):
         assert nothing.count() == 0
         if nothing.columns != docs.columns:
             break
+
+
+def test_mix_meets_the_weights_where_it_must_grow(spark, tmp_path):
+    """Three tenths of the tokens are of a domain whose weight is 0.12: the mix is about 2.5 times its input."""
+    rnd = random.Random(6)
+    kinds = ["high"] * 6 + ["low"] * 3 + ["toxic"]
+    rows = [(k, " ".join(f"{kinds[k % 10]}{rnd.randrange(40)}" for _ in range(50))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, int(kinds[k % 10] == "high"), int(kinds[k % 10] == "toxic")) for k in range(0, 600, 3)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.to_weights(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(600))
+    shares = {d: sum(kinds[r.doc_id % 10] == d for r in got) / len(got) for d in WEIGHTS}
+    assert all(abs(shares[d] - w) < 0.02 for d, w in WEIGHTS.items()), shares

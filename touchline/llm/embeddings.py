@@ -27,7 +27,7 @@ def sample_pivots(distinct: DataFrame, n: int, most: int, apart: float = 0.8) ->
     """About 4 sqrt(n) of the n vectors, `most` at most, none with a cosine over `apart` to another.
 
     They come from the vectors with the smallest hash. Pivots close together would share out one dense group at random, so that its
-    members met in few lists. Bounded, so they may be sent to all tasks.
+    members met in few lists. Bounded, so they may be sent to all tasks. Vectors that all lie close together have one pivot.
     """
     want = int(min(most, max(64, 4 * n**0.5)))
     rows = distinct.select("vec").orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(2 * want).collect()
@@ -142,8 +142,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, near: int = 10, share
     found = None
     for size in sizes:
         own = distinct.filter(F.size("vec") == size)
-        described = cut(permutations(own, sample_pivots(own, own.count(), most_pivots), near), "described")
-        links = cut(list_links(described, cosine, shared, block), "links")
+        pivots = sample_pivots(own, own.count(), most_pivots)
+        described = cut(permutations(own, pivots, near), "described")
+        # with `near` pivots or fewer every vector lists them all, and no pair can share more than there are
+        links = cut(list_links(described, cosine, min(shared, len(pivots)), block), "links")
         found = links if found is None else found.union(links)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

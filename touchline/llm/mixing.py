@@ -111,39 +111,44 @@ def fit_rates(known: DataFrame, targets: np.ndarray, lower: float = 0.0, most_st
     """Steps of the projected gradient from rates of 1, by a row `n_tokens, posteriors` per document.
 
     The loss is half the sum of ((total_k - target_k) / tokens)^2. Its gradient, seen through a document's posteriors, moves the
-    rate; it is scaled by the inverse of the posteriors' second moments, so that a step without a rate at its bound meets the targets.
-    A step that makes the loss larger is taken back, and plain gradients of safe length follow. It ends when no total is further from
-    its target than `tolerance` of all tokens, or the loss no longer falls.
+    rate; it is scaled by the inverse of the damped second moments of the posteriors whose rates are above the bound, so that a step
+    that moves only these meets the targets. A step that makes the loss larger is taken back and damped more, at most to the length of
+    a safe plain gradient. It ends when no total is further from its target than `tolerance` of all tokens, or the loss no longer falls.
     """
     k = len(targets)
     t = F.col("n_tokens").cast("double")
     at = lambda i: F.get("posteriors", F.lit(i))
-    first = known.agg(F.sum(t).alias("all"), *(F.sum(t * at(i) * at(j)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    moments = lambda of: [F.sum(of * at(i) * at(j)).alias(f"m{i}_{j}") for i, j in pairs]
+    square = lambda r: np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
+    first = known.agg(F.sum(t).alias("all"), *moments(t)).first()
     everything = first["all"] or 0.0
     if not everything:
         return []
-    moments = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
-    scale = np.linalg.inv(moments + 1e-4 * np.trace(moments) * np.eye(k))
-    plain = np.eye(k) / max(1e-12, np.linalg.eigvalsh(moments)[-1])
+    free = square(first)
+    least, safe = 1e-4 * np.trace(free), max(1e-12, np.linalg.eigvalsh(free)[-1])
+    damping = least
     steps: list[list[float]] = []
     best, error, stuck = np.inf, np.zeros(k), 0
     for _ in range(most_steps):
-        got = known.withColumn("rate", rate(steps, lower)).agg(*(F.sum(F.col("rate") * t * at(i)).alias(f"s{i}") for i in range(k))).first()
+        above = F.when(F.col("rate") > lower, t).otherwise(0.0) if steps else t
+        got = known.withColumn("rate", rate(steps, lower)).agg(*(F.sum(F.col("rate") * t * at(i)).alias(f"s{i}") for i in range(k)), *moments(above)).first()
         now = (np.array([got[f"s{i}"] for i in range(k)]) - targets) / everything
         loss = float(now @ now)
         if loss > best:
             steps.pop()
-            scale = plain
+            damping = min(4 * damping, safe)
         else:
-            stuck = stuck + 1 if loss > 0.99 * best else 0
-            best, error = loss, now
-        if np.abs(error).max() <= tolerance or stuck >= 3 or loss > best and scale is plain and not steps:
-            break
-        steps.append((scale @ error).tolist())
-    return steps
+            stuck = stuck + 1 if loss > 0.999 * best else 0
+            best, error, free = loss, now, square(got)
+            damping = max(damping / 4, least)
+        if np.abs(error).max() <= tolerance or stuck >= 3:
+            return steps
+        steps.append(np.linalg.solve(free + damping * np.eye(k), error).tolist())
+    return steps[:-1]  # the last step has not been judged
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, growth: float = 1.25, most: int = 20_000) -> tuple[Classifier, list[list[float]]]:
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, most: int = 20_000) -> tuple[Classifier, list[list[float]]]:
     """The classifier and the steps that give every document its rate."""
     classifier = train(docs, labelled, most)
     domains = classifier.domains
@@ -153,18 +158,17 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     want = np.array([(weights or {}).get(d, 0.0 if weights else 1.0) for d in domains], float)
     want = want / want.sum() if want.sum() else np.ones(len(domains)) / len(domains)
     size = max((least * h / w for h, w in zip(have, want, strict=True) if w > 0 and h > 0), default=0.0)
-    size = min(size, max(least, growth) * have.sum())
     return classifier, fit_rates(known, size * want, lower)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, growth: float = 1.25, most: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, lower: float = 0.0, least: float = 1.0, most: int = 20_000) -> DataFrame:
     """`row` (a struct of all columns), `n_tokens, posteriors, domain, rate` per document.
 
     `labelled` has `doc_id, domain`. `weights` are the domains' shares of the mixed tokens (equal ones if not given; domains without
-    a weight count as 0, unknown ones are ignored). The mix is the smallest in which every domain keeps `least` times its tokens,
-    but at most `growth` times all tokens; no rate falls below `lower`. Null text is empty: no tokens, the prior's posteriors. Without labels there is one domain.
+    a weight count as 0, unknown ones are ignored). The mix is the smallest in which every domain keeps `least` times its tokens;
+    no rate falls below `lower`. Null text is empty: no tokens, the prior's posteriors. Without labels there is one domain.
     """
-    classifier, steps = fit_mix(docs, labelled, weights, lower, least, growth, most)
+    classifier, steps = fit_mix(docs, labelled, weights, lower, least, most)
     best = F.get(F.array(*map(F.lit, classifier.domains)), (F.array_position("posteriors", F.array_max("posteriors")) - 1).cast("int"))
     return posteriors(docs, classifier).withColumns({"domain": best, "rate": rate(steps, lower)})
 
