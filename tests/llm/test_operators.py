@@ -390,3 +390,15 @@ def test_mixing_rates_converge_at_a_bound(spark):
     rates = np.array([x.rate for x in known.withColumn("rate", mixing.rate(steps, 1.0)).collect()])
     loss = lambda x: ((((x * n) @ p - targets) / everything) ** 2).sum()
     assert rates.min() >= 1 and loss(rates) <= loss(r) + 1e-5
+
+
+def test_vectors_of_one_dense_group(spark):
+    """All within cosine 0.8 of each other, so that one pivot stands for all; another length has two near copies only."""
+    rng = np.random.default_rng(9)
+    cone = rng.normal(size=24)
+    rows = [(k, (cone + 0.3 * rng.normal(size=24)).astype(np.float32).tolist()) for k in range(60)]
+    short = [(100, [1.0, 0.0]), (101, [2.0, 0.0]), (102, [1.0, 0.1])]
+    want = sorted(brute_vectors(rows) + brute_vectors(short))
+    assert 0 < sum(n for i, n, _ in want if i < 100) < 60 * 59
+    got = embeddings.near_vectors(spark.createDataFrame(rows + short, "vec_id long, embedding array<float>"), block=8).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
