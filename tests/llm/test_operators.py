@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -402,3 +403,25 @@ def test_vectors_of_one_dense_group(spark):
     assert 0 < sum(n for i, n, _ in want if i < 100) < 60 * 59
     got = embeddings.near_vectors(spark.createDataFrame(rows + short, "vec_id long, embedding array<float>"), block=8).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_minhash_plan_of_a_threshold():
+    """The plan of 85 is the one that the query has; each plan misses a pair at its threshold as rarely as stated."""
+    assert minhash.bands_for(85) == (minhash.BANDS, minhash.ROWS) and np.ceil(minhash.least_for(85, 150) * 150) == np.ceil(0.73 * 150)
+    for percent in (70, 80, 85, 95):
+        bands, rows = minhash.bands_for(percent)
+        share, n = percent / 100, bands * rows
+        need = int(np.ceil(minhash.least_for(percent, n) * n))
+        assert n <= 150 and (1 - share**rows) ** bands <= 1e-5
+        assert sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(need)) <= 1e-4
+
+
+def test_minhash_at_another_threshold(spark):
+    """Pairs at exactly 0.80 and just below: the signature and the bands follow `percent`."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(400):
+        words = [f"w{rnd.randrange(10**12)}" for _ in range(84)]  # 80 shingles; the copy lacks the last words
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 84 - (17 if k % 4 == 3 else 16)]))]
+    got = {r.doc_id: r.kept for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert got == {i: i % 2 == 0 or i // 2 % 4 == 3 for i in range(800)}

@@ -8,6 +8,7 @@ pair belongs to the first band that it shares, so it is judged once, and no pass
 
 from __future__ import annotations
 
+import math
 from itertools import groupby
 
 import numpy as np
@@ -25,6 +26,25 @@ SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, signat
 KEYS = ["band", "key", "i", "j"]
 
 
+def bands_for(percent: int, most: int = 150, by_bands: float = 1e-5) -> tuple[int, int]:
+    """Bands and rows that miss a pair at the threshold with a probability of at most `by_bands`: the most rows a band whose bands need `most` minima at most."""
+    found = None
+    for rows in range(1, most + 1):
+        hit = (percent / 100) ** rows
+        bands = 1 if hit >= 1 else math.ceil(math.log(by_bands) / math.log1p(-hit))
+        if bands * rows <= most or found is None:
+            found = bands, rows
+    return found
+
+
+def least_for(percent: int, minima: int, by_signature: float = 1e-4) -> float:
+    """The share of minima to agree that a pair at the threshold falls short of with a probability of at most `by_signature`."""
+    share, short, need = percent / 100, 0.0, 0
+    while need < minima and (short := short + math.comb(minima, need) * share**need * (1 - share) ** (minima - need)) <= by_signature:
+        need += 1
+    return max(0.0, need - 0.5) / minima  # halfway, so that rounding up gives `need`
+
+
 def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     table = low.reshape(bands, rows)
     return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(table)], np.uint64).astype(np.int64)
@@ -148,15 +168,18 @@ def confirmed_links(members: DataFrame, percent: int, least: float, bands: int,
     return members.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, percent: int = 85, least: float = 0.73, bands: int = BANDS, rows: int = ROWS, block: int = 1024, text_block: int = 256) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = 85, least: float | None = None, bands: int | None = None, rows: int | None = None, block: int = 1024, text_block: int = 256) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept` per row; linked are documents with 100 * common >= percent * all shingles.
 
-    A link at exactly 0.85 is missed with a probability below 1e-5 by the bands (25 of 6 minima) and below 1e-4 by the signature
-    (150 minima, 0.73 must agree); more alike pairs far less. Documents without words link with nothing. Null text is
+    A link at exactly `percent` is missed with a probability below 1e-5 by the bands and below 1e-4 by the signature, whose sizes
+    follow from it where not given (85: 25 bands of 6 minima, 110 of 150 must agree); more alike pairs far less. Documents without words link with nothing. Null text is
     empty, a null id is a component of its own (null, kept), rows that repeat an id count as one document with several texts.
 
     The joins are merged at every size: no side has a bound, and small tables take the plan that large ones need.
     """
+    if bands is None or rows is None:
+        bands, rows = bands_for(percent)
+    least = least_for(percent, bands * rows) if least is None else least
     drawn = cut(sketches(docs, bands, rows), "sketches")
     full = drawn.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
