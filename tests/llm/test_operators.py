@@ -425,3 +425,16 @@ def test_minhash_at_another_threshold(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 84 - (17 if k % 4 == 3 else 16)]))]
     got = {r.doc_id: r.kept for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
     assert got == {i: i % 2 == 0 or i // 2 % 4 == 3 for i in range(800)}
+
+
+def test_main_text_keeps_all_parts_of_an_article():
+    """Without <article>: a second part, short opening lines and a closing list stay; with it, short articles beside a long one."""
+    long, short = "Many words that say little in a long line of text. " * 6, "A few words only here."
+    parts = f"<div id=story><div>{f'<p>{long}</p>' * 6}</div><div>{f'<p>{long}</p>' * 2}</div></div>"
+    menu = "<div><a href=/>Home</a> | <a href=/x>All</a></div>"
+    words = lambda *lines: " ".join(" ".join(lines).split())
+    assert html_text.main_text(f"<body>{menu}{parts}{menu}<footer>{long}</footer>") == words(long * 8)
+    items = [f"Item {k} of the list end" for k in range(6)]
+    listed = f"<body>{menu}<div><p>By A. Writer</p><p>{short}</p><p>On a day</p><p>Long ago</p><p>Far away</p>{f'<p>{long}</p>' * 5}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></div>"
+    assert html_text.main_text(listed) == words("By A. Writer", short, "On a day Long ago Far away", long * 5, *items)
+    assert html_text.main_text(f"<article><p>{long * 4}</p></article><article><p>{short}</p></article><article class=comment>{short}</article>") == words(long * 4, short)

@@ -2,8 +2,9 @@
 
 The standard library's parser turns a page into lines, one a block, each with its text, its tags, the containers it lies in and
 whether an element about it is no content by name or role. The ratio of text to tags per line is smoothed with a Gaussian; lines
-above a threshold form content clusters. The clusters select the region (an article, else the main part, else the deepest
-container that holds most of them); within it every line that is not boilerplate by its elements is kept.
+above a threshold form content clusters. The clusters select the region (the articles, else the main part, else the deepest
+container that holds them all); within it every line that is not boilerplate by its elements is kept, but lines of nothing but
+links before the first and after the last cluster are not.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ HEADINGS = {"h1", "h2", "h3"}
 CLOSED_BY_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+WORDY = re.compile(r"[^\W_]")
 STEP = 1 << 16
 
 
@@ -50,6 +52,8 @@ class Line:
     region: int = -1
     boiler: bool = False
     heading: bool = False
+    #: Has letters or digits outside links.
+    prose: bool = False
     text: str = ""
 
 
@@ -155,6 +159,8 @@ class PageLines(HTMLParser):
 
     def handle_data(self, data):
         self.line.pieces.append(data)
+        if not self.line.prose and not self.open.get("a"):
+            self.line.prose = WORDY.search(data) is not None
 
 
 def page_lines(html: str) -> PageLines:
@@ -184,15 +190,20 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
         return ""
     content = content_lines(lines, sigma, level)
     sizes = np.array([0 if x.boiler else len(x.text) for x in lines])
-    weight, inside = [0.0] * len(page.regions), [0] * len(page.regions)
-    for x, yes, size in zip(lines, content.tolist(), sizes.tolist(), strict=True):
+    # smoothing may draw a menu beside the article into a cluster, which must not widen the region
+    sure = content & np.array([x.prose for x in lines])
+    sure = sure if sure.any() else content
+    weight, inside, surely = [0.0] * len(page.regions), [0] * len(page.regions), [0] * len(page.regions)
+    for x, yes, own, size in zip(lines, content.tolist(), sure.tolist(), sizes.tolist(), strict=True):
         if size and x.region >= 0:
             weight[x.region] += size if yes else 1e-3 * size
             inside[x.region] += size if yes else 0
+            surely[x.region] += size if own else 0
     for r in range(len(page.regions) - 1, -1, -1):  # a region is numbered after the one about it
         if page.about[r] >= 0:
             weight[page.about[r]] += weight[r]
             inside[page.about[r]] += inside[r]
+            surely[page.about[r]] += surely[r]
 
     def within(chosen: set[int]) -> list[int]:
         """Lines that lie in a chosen region and are no boilerplate."""
@@ -204,17 +215,16 @@ def main_text(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     for kind in ("article", "main"):
         own = [r for r, tag in enumerate(page.regions) if tag == kind and weight[r] > 0]
         if own:
-            most = max(weight[r] for r in own)
-            return " ".join(lines[k].text for k in within({r for r in own if weight[r] >= 0.3 * most}))
+            return " ".join(lines[k].text for k in within(set(own)))
     if not content.any():
         return ""
-    total = sizes[content].sum()
-    deep = max((r for r in range(len(inside)) if inside[r] >= 0.7 * total), default=None)
+    total, needed = sizes[content].sum(), sizes[sure].sum()
+    deep = max((r for r in range(len(inside)) if surely[r] >= needed and inside[r] >= 0.7 * total), default=None)
     own = [k for k, x in enumerate(lines) if not x.boiler] if deep is None else within({deep})
     hits = [k for k in own if content[k]]
-    first, last = (hits[0], hits[-1]) if hits else (own[0], own[-1])
+    first, last = hits[0], hits[-1]
     before = [k for k in own if k < first and lines[k].heading]
-    return " ".join(lines[k].text for k in own if first <= k <= last or k in before[-1:])
+    return " ".join(lines[k].text for k in own if first <= k <= last or lines[k].prose or k in before[-1:])
 
 
 def main_texts(pages: DataFrame, html: str = "html", **settings) -> DataFrame:
