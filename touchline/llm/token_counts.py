@@ -1,7 +1,8 @@
 """Token counts by a whole-token shortcut.
 
 Vocabulary strings that the library's model gives back as one token are found once, before any text is read;
-a pre-token among them counts one without merging, and only the rest is merged (once per worker cache).
+a pre-token among them counts one without merging, and only the rest is merged. Counts of stretches between spaces are
+remembered by each worker.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 @functools.lru_cache(maxsize=2)
 def counts_of(path: str) -> Remembered:
+    """Tokens of a stretch without a space or line end: the sum over its pre-tokens, each proven whole or merged."""
     words = words_of(path)
-    return Remembered(lambda word: len(words.merge(word)), dict.fromkeys(whole_tokens(path), 1))
+    single = Remembered(lambda word: len(words.merge(word)), dict.fromkeys(whole_tokens(path), 1))
+    return Remembered(lambda part: sum(map(single.__getitem__, words.words(part))))
 
 
 def count_text(text: str, path: str) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import wavelet
-from touchline.llm.common import open_in, open_out, per_file, shared_folder, task_file, tasks, text_or_empty
+from touchline.llm.common import cut, open_in, open_out, per_file, shared_folder, task_file, tasks, text_or_empty
 from touchline.llm.token_words import default_path, words_of
 
 FILES = "part int, shard int, path string, n_tokens long"
@@ -37,10 +37,10 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, shard_token
         def close():
             nonlocal ids, doc_ids, lengths, room, shard
             uri = task_file(folder, shard, "twm")
-            tokens = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+            tokens = np.concatenate(ids)
             head = {"part": part, "shard": shard, "first": first, "nulls": [k for k, d in enumerate(doc_ids) if d is None]}
             with open_out(uri) as out:
-                wavelet.write(out, tokens, np.array([d or 0 for d in doc_ids], np.int64), np.array(lengths, np.int64), head)
+                wavelet.write(out, tokens, np.array([d or 0 for d in doc_ids], np.int64), np.array(lengths, np.int64), head, 8 * tokens.itemsize)
             done.append((part, shard, uri, len(tokens)))
             shard += 1
             ids, doc_ids, lengths, room = [], [], [], shard_tokens
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, shard_token
         first = 0
         for b in batches:
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["t"].to_pylist(), strict=True):
-                own = np.array([*words.encode(text), end_id], np.uint16)
+                own = np.append(words.id_array(text), words.kind(end_id))
                 while True:
                     piece, own = own[:room], own[room:]
                     if not doc_ids:
@@ -106,9 +106,10 @@ def read_token_files(spark: SparkSession, files: list) -> DataFrame:
                     ["part", "shard", "ordinal", "doc_id", "start", "n_tokens", "ids_crc32", "edge"],
                 )
 
-    pieces = per_file(spark, rows, "path string, start long").mapInArrow(
+    # written, so that every file is opened once
+    pieces = cut(per_file(spark, rows, "path string, start long").mapInArrow(
         run, "part int, shard int, ordinal long, doc_id long, start long, n_tokens long, ids_crc32 long, edge boolean"
-    )
+    ), "pieces")
     joined = F.udf(join_checksums, "long")
     # only the first and the last document of a file can go on in another one
     edges = (

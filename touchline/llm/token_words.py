@@ -1,9 +1,9 @@
 """Pre-tokens of the word-end BPE and their ids, by the tokenizers library.
 
-Texts whose characters all lie below U+0300 are split by one pattern: there NFC changes nothing,
-lower case works character by character, and the classes of letters, digits and white space are fixed.
-Other texts go through the library's own normalizer and pre-tokenizer. Either way each distinct
-pre-token is merged by the library's model, once per worker cache.
+No pre-token reaches over a space or line end, and neither do composition and lower case, so texts are cut there and each distinct
+stretch is encoded once per worker cache. Stretches whose characters, in lower case too, all lie below U+0300 are split by one pattern:
+there NFC changes nothing, lower case works character by character, and the classes of letters, digits and white space are fixed. Other
+stretches go through the library's own normalizer and pre-tokenizer. Either way the library's model merges the pre-tokens.
 """
 
 from __future__ import annotations
@@ -12,21 +12,22 @@ import functools
 import json
 import os
 import re
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most distinct pre-tokens that a worker remembers; the memory starts anew beyond it.
-CACHE_WORDS = 250_000
+#: Most distinct stretches that a worker remembers as recently used, and as many older ones.
+CACHE_WORDS = 150_000
 LETTERS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{L}", c))
 DIGITS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{N}", c))
 SPACES = "\t-\r \x85\xa0"
 #: The library's pattern for characters below U+0300, with the classes written out: `re` runs it several times faster.
 PLAIN = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
-OTHER = re.compile("[^\x00-\u02ff]")
+#: Characters beyond the pattern's, and those below whose lower case is (such as U+023A): texts with them go the library's way.
+OTHER = re.compile("[^\x00-\u02ff]|[" + "".join(c for c in map(chr, range(0x300)) if max(c.lower()) >= "\u0300") + "]")
 
 
 def default_path() -> str:
@@ -49,6 +50,9 @@ class Words:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = dict(zip(range(256), byte_letters(), strict=True))
         self.ids = Remembered(self.merge)
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        #: Ids of a stretch without a space or line end, as bytes.
+        self.stretches = Remembered(lambda part: np.array([i for w in self.words(part) for i in self.ids[w]], self.kind).tobytes())
 
     def spell(self, word: str) -> str:
         """The word in the vocabulary's letters, one a byte."""
@@ -58,13 +62,13 @@ class Words:
         return tuple(t.id for t in self.library.model.tokenize(self.spell(word)))
 
     def parts(self, text: str):
-        """Special strings as ids, the stretches between them as lists of pre-tokens."""
-        pieces = self.split_special.split(text) if self.split_special else [text]
+        """Special strings as ids, the texts between them as stretches without a space or line end."""
+        pieces = self.split_special.split(text) if self.split_special and "<" in text else [text]
         for piece in pieces:
             if piece in self.special:
                 yield self.special[piece]
             elif piece:
-                yield self.words(piece)
+                yield piece.replace("\n", " ").split(" ")
 
     def words(self, piece: str) -> list[str]:
         if piece.isascii() or not OTHER.search(piece):
@@ -80,27 +84,29 @@ class Words:
         return {c: b for b, c in self.letters.items()}
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.parts(text):
-            if isinstance(part, int):
-                out.append(part)
-            else:
-                out.extend(chain.from_iterable(map(self.ids.__getitem__, part)))
-        return out
+        return self.id_array(text).tolist()
+
+    def id_array(self, text: str) -> np.ndarray:
+        out = [np.array([p], self.kind).tobytes() if isinstance(p, int) else b"".join(map(self.stretches.__getitem__, p)) for p in self.parts(text)]
+        return np.frombuffer(b"".join(out), self.kind)
 
 
 class Remembered(dict):
-    """Answers by word; all but the lasting ones go when there are too many."""
+    """Answers by word. When there are too many, those not asked for since the last time go; lasting ones stay."""
 
     def __init__(self, answer, lasting=()):
         super().__init__(lasting)
-        self.answer, self.lasting = answer, lasting
+        self.answer, self.lasting, self.older = answer, lasting, {}
 
     def __missing__(self, word: str):
         if len(self) >= CACHE_WORDS + len(self.lasting):
+            self.older = dict(self)
             self.clear()
             self.update(self.lasting)
-        got = self[word] = self.answer(word)
+        got = self.older.get(word)
+        if got is None:
+            got = self.answer(word)
+        self[word] = got
         return got
 
 

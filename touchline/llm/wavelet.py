@@ -20,11 +20,17 @@ BLOCK = 512  # bits between two rank samples
 def build_planes(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """Packed planes from the highest bit down, and the zeros of each; the order is split stably after each plane."""
     planes, zeros = [], []
+    now, then = ids.copy(), np.empty_like(ids)
     for shift in range(bits - 1, -1, -1):
-        plane = ((ids >> shift) & 1).astype(bool)
+        plane = (now & ids.dtype.type(1 << shift)) != 0
+        ones = int(np.count_nonzero(plane))
         planes.append(np.packbits(plane, bitorder="little"))
-        ids = np.concatenate([ids[~plane], ids[plane]])
-        zeros.append(int(len(plane) - plane.sum()))
+        zeros.append(len(plane) - ones)
+        if shift:  # two buffers take turns
+            np.compress(plane, now, out=then[len(plane) - ones :])
+            np.logical_not(plane, out=plane)
+            np.compress(plane, now, out=then[: len(plane) - ones])
+            now, then = then, now
     return planes, zeros
 
 
