@@ -25,9 +25,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below `spark.checkpoint.dir`, deleted when the session's JVM ends.
 
-    Where the setting is absent, as in tests, the warehouse folder stands in, which Spark itself takes as shared.
+    Where the setting is absent, as in tests, the warehouse folder stands in; that may be a folder of one machine, so only a local
+    session takes it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/touchline-work"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/touchline-work"
     if not urlsplit(root).scheme:
         root = f"file://{os.path.abspath(root)}"
     folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -79,5 +84,10 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cut, slices, text_or_empty
+from touchline.llm.common import cut, quoted, slices, text_or_empty
 
 ORDER = 4
 DISCOUNT = 0.75
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers such as U+00BD count as word characters for `re`, though they are no letters.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+NOT_LETTERS = re.compile(rf"[\W_{NUMBERS}]+")
 UNKNOWN = "und"
 
 
@@ -179,21 +181,28 @@ def kneser_ney(counts: pa.Table, languages: list[str]) -> Models:
     return Models(languages, known, logs, backs, floor, np.full(len(languages), np.inf))
 
 
-def learn(labelled: DataFrame, chars: int = 6_000_000, most_languages: int = 200, spread: float = 1.5) -> Models:
+def learn(labelled: DataFrame, chars: int = 6_000_000, cells: int = 1 << 27, spread: float = 1.5) -> Models:
     """Models from about `chars` characters a language (all texts of a language with fewer), whole texts chosen by hash.
 
-    The sample bounds the model, so it may be sent to every task. The rejection level is fitted on the same texts: the
-    0.999 quantile of their cross-entropies, times `spread`.
+    Every language is learned. The models have a column a language and a row a distinct gram; where the sample would make more than
+    `cells` numbers of them, as with hundreds of languages, all languages get half as many characters, until it fits. So the models are
+    bounded and may be sent to every task. The rejection level is fitted on the same texts: the 0.999 quantile of their
+    cross-entropies, times `spread`. Repeated rows count as often as they stand.
     """
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not sizes:
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    languages = sorted(sizes)
+    if not languages:
         return Models([], [np.zeros(0, np.uint64)] * ORDER, [], [], 0.0, np.zeros(0))
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, chars / max(1, r.n)))) for r in sizes), F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = cut(rows.filter(draw < share), "language-sample")
-    languages = sorted(r.lang for r in sizes)
-    models = kneser_ney(gram_counts(sample).toArrow(), languages)
+    while True:
+        shares = F.map_from_arrays(F.lit(languages), F.lit([min(1.0, chars / max(1, sizes[lang])) for lang in languages]))
+        sample = cut(rows.filter(draw < F.element_at(shares, F.col("lang"))), "language-sample")
+        counts = cut(gram_counts(sample), "language-grams")
+        if chars < 2 or len(languages) * counts.agg(F.count_distinct("gram")).first()[0] <= cells:
+            break
+        chars //= 2
+    models = kneser_ney(counts.toArrow(), languages)
     quantiles = predictions(sample, models).groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.999, 10000).alias("q")).collect()
     for r in quantiles:
         if r.lang_pred in languages and r.q is not None:
@@ -205,10 +214,12 @@ def predictions(docs: DataFrame, models: Models) -> DataFrame:
     """`row` (a struct of all columns), `lang_pred, score, entropy, rejected` per row, from the text alone.
 
     `score` is the posterior of the best language when each text counts as at most 40 characters. Without text,
-    letters or languages the answer is `und`, score 0, rejected. Very short texts are rejected only far above the level.
+    letters or languages the answer is `und`, score 0, rejected. Very short texts are rejected only far above the level. Of languages
+    that tie, the first by name is the answer. Repeated rows each get theirs. Very long texts are scored in stretches of 260,000
+    characters. Column names may be any, dots included, as they stay inside `row`.
     """
     languages = models.languages
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
 
     def run(batches):
         for b in slices(batches):
