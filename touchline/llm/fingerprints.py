@@ -133,6 +133,16 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np
     return np.where(sizes > 0, (sizes - only_a - only_b) / np.maximum(1, sizes), 1.0)
 
 
+def bounds_above(value, bounds: list[float]):
+    """How many of the falling bounds lie above the value: first among every root-th of them, then inside one stretch."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, round(len(bounds) ** 0.5))
+    whole = F.size(F.filter(F.lit(bounds[::step]), lambda b: value < b))
+    inside = F.size(F.filter(F.slice(F.lit(bounds), (whole - 1) * step + 1, F.lit(step)), lambda b: value < b))
+    return F.when(whole == 0, 0).otherwise((whole - 1) * step + inside)
+
+
 def with_next(docs: DataFrame, spread: int | None = None):
     """Rows dealt by descending id, in order, each range followed by a copy of the first row after it (`tail`).
 
@@ -144,15 +154,14 @@ def with_next(docs: DataFrame, spread: int | None = None):
     # a null id stands after all others; rows with equal ids stand by their text's hash
     ids = rows.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("place"), F.xxhash64("t").alias("tie"))
     bounds = sorted({float(x) for x in ids.approxQuantile("place", [k / n for k in range(1, n)], 0.1 / n)}, reverse=True) if n > 1 else []
-    part = F.lit(0)
-    for k, bound in enumerate(bounds):
-        part = F.when(F.col("place").cast("double") < bound, k + 1).otherwise(part)
+    part = bounds_above(F.col("place").cast("double"), bounds)
     firsts = {r.part: (r.first.place, r.first.tie) for r in ids.withColumn("part", part).groupBy("part").agg(F.max(F.struct("place", "tie")).alias("first")).collect()}
     order = sorted(firsts)
-    goes = F.lit(None).cast("int")
-    for k, own in enumerate(order):  # at most a row a range
-        before = order[k - 1] if k else order[-1]
-        goes = F.when((F.col("place") == firsts[own][0]) & (F.col("tie") == firsts[own][1]), before).otherwise(goes)
+    before = {own: order[k - 1] for k, own in enumerate(order)}
+    known = [k in firsts for k in range(len(bounds) + 1)]
+    at = lambda values: F.get(F.lit(values), part)
+    is_first = (F.col("place") == at([firsts[k][0] if ok else 0 for k, ok in enumerate(known)])) & (F.col("tie") == at([firsts[k][1] if ok else 0 for k, ok in enumerate(known)]))
+    goes = F.when(is_first, at([before.get(k, 0) for k in range(len(known))]))  # at most a row a range
     placed = rows.withColumns({"place": F.coalesce("doc_id", F.lit(-1 << 63)), "tie": F.xxhash64("t")}).withColumn("part", part)
     copies = F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")), F.when(goes.isNotNull(), F.struct(goes.alias("part"), F.lit(True).alias("tail")))))
     out = placed.withColumn("to", F.explode(copies)).select("doc_id", "t", "place", "tie", F.col("to.part").alias("part"), F.col("to.tail").alias("tail"))
