@@ -20,37 +20,55 @@ LINKS = "node long, n long, a long, b long"
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one. Powers of two are taken out first, so squares neither overflow nor vanish."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def sample_pivots(distinct: DataFrame, n: int, most: int, apart: float = 0.8) -> np.ndarray:
-    """About 4 sqrt(n) of the n vectors, `most` at most, none with a cosine over `apart` to another.
+def sample_pivots(distinct: DataFrame, sizes: dict[int, int], most: int, apart: float = 0.8) -> dict[int, np.ndarray]:
+    """By length about 4 sqrt(n) of its n vectors, none with a cosine over `apart` to another; `most` in all, so they may be sent to all tasks.
 
     They come from the vectors with the smallest hash. Pivots close together would share out one dense group at random, so that its
-    members met in few lists. Bounded, so they may be sent to all tasks. Vectors that all lie close together have one pivot.
+    members met in few lists. Vectors that all lie close together have one pivot. Lengths too rare for a share of `most` have none.
+    """
+    want = {k: min(most, max(64, int(4 * n**0.5))) for k, n in sizes.items()}
+    total = sum(want.values())
+    if total > most:
+        want = {k: w * most // total for k, w in want.items()}
+    chance = F.map_from_arrays(F.lit([0, *want]), F.lit([0.0, *(min(1.0, (2 * w + 64) / sizes[k]) if w else 0.0 for k, w in want.items())]))
+    drawn = F.xxhash64("rep", F.lit(7))
+    few = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(chance, F.col("length"))
+    rows = distinct.filter(few).select("length", (F.pmod(drawn, F.lit(1 << 30))).alias("place"), "rep", "vec").collect()
+    by: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r.length, r.place, r.rep)):
+        by.setdefault(r.length, []).append(r.vec)
+    pivots = {}
+    for length, vectors in by.items():
+        sample, kept = unit(np.array(vectors, np.float64)), []
+        for k in range(len(sample)):
+            if len(kept) < want[length] and (not kept or (sample[kept] @ sample[k]).max() <= apart):
+                kept.append(k)
+        pivots[length] = sample[kept]
+    return pivots
+
+
+def permutations(distinct: DataFrame, pivots: dict[int, np.ndarray], near: int) -> DataFrame:
+    """Each vector with the nearest pivots of its length, nearest first; ties go to the lower pivot.
+
+    Vectors of a length without pivots are all in one list, that of pivot -1.
     """
-    want = int(min(most, max(64, 4 * n**0.5)))
-    rows = distinct.select("vec").orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(2 * want).collect()
-    sample = unit(np.array([r.vec for r in rows], np.float64)) if rows else np.zeros((0, 1))
-    kept: list[int] = []
-    for k in range(len(sample)):
-        if len(kept) < want and (not kept or (sample[kept] @ sample[k]).max() <= apart):
-            kept.append(k)
-    return sample[kept]
-
-
-def permutations(distinct: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
-    """Each vector with its nearest pivots, nearest first; ties go to the lower pivot."""
 
     def run(batches):
         for pdf in batches:
-            vectors = unit(np.array(pdf.vec.tolist(), np.float64))
-            order = []
-            for at in range(0, len(vectors), 512):
-                order.append(np.argsort(-np.round(vectors[at : at + 512] @ pivots.T, 12), axis=1, kind="stable")[:, :near])
-            yield pdf.assign(pivots=np.concatenate(order).astype(np.int32).tolist())
+            for length, own in pdf.groupby("length"):
+                vectors, known = unit(np.array(own.vec.tolist(), np.float64)), pivots.get(length)
+                if known is None:
+                    order = [np.full((len(own), 1), -1)]
+                else:
+                    order = [np.argsort(-np.round(vectors[at : at + 512] @ known.T, 12), axis=1, kind="stable")[:, :near] for at in range(0, len(vectors), 512)]
+                yield own.assign(pivots=np.concatenate(order).astype(np.int32).tolist())
 
-    return distinct.select("rep", "copies", "vec").mapInPandas(run, "rep long, copies long, vec array<float>, pivots array<int>")
+    return distinct.select("length", "rep", "copies", "vec").mapInPandas(run, "length int, rep long, copies long, vec array<double>, pivots array<int>")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -103,14 +121,14 @@ def block_links(pivot: int, left: pd.DataFrame, right: pd.DataFrame, same: bool,
     return pd.concat([out, tree], ignore_index=True)
 
 
-def list_links(described: DataFrame, cosine: float, shared: int, block: int) -> DataFrame:
+def list_links(described: DataFrame, known: dict[int, int], cosine: float, shared: int, block: int) -> DataFrame:
     """Counts (`node, n`) and forest edges (`a, b`) of all links, from the inverted lists in pairs of blocks."""
-    lists = described.select(F.explode("pivots").alias("pivot"), "rep")
-    # at most as many rows as pivots, whose number is bounded
-    blocks = lists.groupBy("pivot").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
+    lists = described.select("length", F.explode("pivots").alias("pivot"), "rep")
+    # at most as many rows as pivots, whose number is bounded, and lengths without any
+    blocks = lists.groupBy("length", "pivot").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
     rows = (
-        described.select(F.explode("pivots").alias("pivot"), "rep", "copies", "vec", "pivots")
-        .join(F.broadcast(cut(blocks, "blocks")), "pivot")
+        described.select("length", F.explode("pivots").alias("pivot"), "rep", "copies", "vec", "pivots")
+        .join(cut(blocks, "blocks"), ["length", "pivot"])
         .withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
@@ -119,36 +137,30 @@ def list_links(described: DataFrame, cosine: float, shared: int, block: int) ->
     )
 
     def run(key, pdf):
-        pivot, i, j = key
+        length, pivot, i, j = key
         left, right = pdf[pdf.own == i], pdf[pdf.own == j]
-        return block_links(pivot, left, right, i == j, cosine, shared)
+        # with few pivots every vector lists them all, and no pair can share more than there are
+        return block_links(pivot, left, right, i == j, cosine, min(shared, known.get(length, 1)))
 
-    return rows.groupBy("pivot", "i", "j").applyInPandas(run, LINKS)
+    return rows.groupBy("length", "pivot", "i", "j").applyInPandas(run, LINKS)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, near: int = 10, shared: int = 2, block: int = 1024, most_pivots: int = 4096) -> DataFrame:
     """`vec_id, n_links, component_id, kept` per row: linked are different rows with cosine >= `cosine`.
 
     Equal vectors are one class: its rows link with each other and share their links. Null, empty or zero vectors and those with
-    null or non-finite components link with nothing. Rows with a null id, and vectors of another length than most, never crash: a
-    null id is its own component (null), vectors of different length are indexed apart. Repeated ids stay as rows.
+    null or non-finite components link with nothing. A row with a null id is its own component (null). The length of a vector is a
+    key of the index: vectors of different lengths never link, and any number of lengths may occur. Repeated ids stay as rows.
     """
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    valid = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    valid = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = rows.withColumn("ok", valid)
     distinct = cut(rows.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct")
-    sizes = [r[0] for r in distinct.groupBy(F.size("vec").alias("k")).count().select("k").limit(64).collect()]
-    found = None
-    for size in sizes:
-        own = distinct.filter(F.size("vec") == size)
-        pivots = sample_pivots(own, own.count(), most_pivots)
-        described = cut(permutations(own, pivots, near), "described")
-        # with `near` pivots or fewer every vector lists them all, and no pair can share more than there are
-        links = cut(list_links(described, cosine, min(shared, len(pivots)), block), "links")
-        found = links if found is None else found.union(links)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    distinct = distinct.withColumn("length", F.size("vec"))
+    sizes = {r.length: r["count"] for r in distinct.groupBy("length").count().filter("count > 1").collect()}
+    pivots = sample_pivots(distinct, sizes, most_pivots)
+    described = cut(permutations(distinct, pivots, near), "described")
+    found = cut(list_links(described, {k: len(p) for k, p in pivots.items()}, cosine, shared, block), "links")
     counts = found.filter("node is not null").groupBy("node").agg(F.sum("n").alias("n")).withColumnRenamed("node", "rep")
     parts = components(found.filter("a is not null").select("a", "b")).withColumnRenamed("node", "rep")
     known = distinct.join(counts, "rep", "left").join(parts, "rep", "left").select(
