@@ -8,12 +8,13 @@ follows from its posteriors and the K numbers of each step, so no rate is ever g
 
 from __future__ import annotations
 
+import warnings
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cut, slices, text_or_empty
+from touchline.llm.common import cut, quoted, slices, text_or_empty
 from touchline.llm.shingles import HASHES
 
 FEATURES = 1 << 14
@@ -93,7 +94,7 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
             got = [classifier.posteriors(w).tolist() for w in words]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array([len(w) for w in words], pa.int64()), pa.array(got, pa.list_(pa.float64()))], ["row", "n_tokens", "posteriors"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
     schema = rows.select("row", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("array<double>").alias("posteriors")).schema
     return rows.mapInArrow(run, schema)
 
@@ -107,13 +108,15 @@ def rate(steps: list[list[float]], lower: float = 0.0, p: str = "posteriors") ->
     return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(lower), r - dot(g)))
 
 
-def fit_rates(known: DataFrame, targets: np.ndarray, lower: float = 0.0, most_steps: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(known: DataFrame, targets: np.ndarray, lower: float = 0.0, most_steps: int = 200, tolerance: float = 1e-4) -> list[list[float]]:
     """Steps of the projected gradient from rates of 1, by a row `n_tokens, posteriors` per document.
 
     The loss is half the sum of ((total_k - target_k) / tokens)^2. Its gradient, seen through a document's posteriors, moves the
     rate; it is scaled by the inverse of the damped second moments of the posteriors whose rates are above the bound, so that a step
     that moves only these meets the targets. A step that makes the loss larger is taken back and damped more, at most to the length of
-    a safe plain gradient. It ends when no total is further from its target than `tolerance` of all tokens, or the loss no longer falls.
+    a safe plain gradient. It ends when no total is further from its target than `tolerance` of all tokens, or, where the targets can't be met
+    with rates above the bound, when three steps no longer lower the loss. Where they still do so
+    after `most_steps`, a warning names the distance that is left.
     """
     k = len(targets)
     t = F.col("n_tokens").cast("double")
@@ -145,6 +148,7 @@ def fit_rates(known: DataFrame, targets: np.ndarray, lower: float = 0.0, most_st
         if np.abs(error).max() <= tolerance or stuck >= 3:
             return steps
         steps.append(np.linalg.solve(free + damping * np.eye(k), error).tolist())
+    warnings.warn(f"after {most_steps} steps a total is still {np.abs(error).max():.2e} of all tokens from its target", stacklevel=2)
     return steps[:-1]  # the last step has not been judged
 
 
