@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import bpe, language, minhash, mixing
-from touchline.llm.common import cut, table
+from touchline.llm.common import cut, quoted, table
 from touchline.llm.queries import WEIGHTS
 
 
@@ -20,12 +20,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of rows that repeat an id (or, without id, a text), one."""
+    """Of each group of near copies the document with the smallest id stays; of rows that repeat an id and its text, one."""
     copies = cut(minhash.near_copies(docs).filter("not kept").select("doc_id"), "copies")
     # merged at every size, as the copies have no bound
-    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    without_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return kept.withColumn("__text_of_no_id", without_id).dropDuplicates(["doc_id", "__text_of_no_id"]).drop("__text_of_no_id")
+    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    return kept.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
