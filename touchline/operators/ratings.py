@@ -11,13 +11,13 @@ from touchline.operators.ranking import with_ranks
 from touchline.operators.ridge import RidgeFit, fit_ridge, fit_ridge_with_prior, prior_table
 
 
-def _by_side(coefficients: DataFrame, value: str) -> DataFrame:
-    """(player_id, offense, defense) out of `<id>_off` and `<id>_def` features."""
+def _by_side(coefficients: DataFrame, value: str, by: list[str] = []) -> DataFrame:
+    """(player_id, offense, defense), per `by`, out of `<id>_off` and `<id>_def` features."""
     role = F.regexp_extract("feature", "_(off|def)$", 1)
     sided = coefficients.where(role != "").select(
-        F.regexp_replace("feature", "_(off|def)$", "").alias("player_id"), role.alias("_role"), F.col(value).alias("_v")
+        *by, F.regexp_replace("feature", "_(off|def)$", "").alias("player_id"), role.alias("_role"), F.col(value).alias("_v")
     )
-    return sided.groupBy("player_id").agg(
+    return sided.groupBy(*by, "player_id").agg(
         F.sum(F.when(F.col("_role") == "off", F.col("_v"))).alias("offense"),
         F.sum(F.when(F.col("_role") == "def", F.col("_v"))).alias("defense"),
     )
@@ -42,6 +42,38 @@ def covariate_effects(fit: RidgeFit, lam: str | float = "min") -> DataFrame:
     return fit.table(lam).where("is_covariate").select("feature", "coefficient")
 
 
+def ratings_by(coefficients: DataFrame, player_map: DataFrame, by: str, prior: DataFrame | None = None) -> DataFrame:
+    """The tables of `ridge_ratings`, or with a prior of `prior_ratings`, for all values of `by` at once.
+
+    `coefficients` has `by, feature, coefficient, is_covariate`, `prior` has `by, feature, prior`.
+    """
+    keys = [by, "player_id"]
+    own = coefficients.where(~F.col("is_covariate"))
+    if prior is None:
+        sides = _by_side(own, "coefficient", [by])
+        return sides.withColumn("rapm", F.col("offense") - F.col("defense")).join(player_map, keys, "left").orderBy(by, F.desc("rapm"), "player_id")
+    joined = own.join(prior, [by, "feature"], "left").na.fill(0, ["prior"])
+    final = _by_side(joined.withColumn("_f", F.col("coefficient") + F.col("prior")), "_f", [by])
+    deviation = _by_side(joined, "coefficient", [by]).withColumnsRenamed({"offense": "off_deviation", "defense": "def_deviation"})
+    priors = _by_side(joined, "prior", [by]).withColumnsRenamed({"offense": "off_prior", "defense": "def_prior"})
+    rated = final.withColumn("xrapm", F.col("offense") - F.col("defense")).join(deviation, keys).join(priors, keys)
+    return rated.join(player_map, keys, "left").orderBy(by, F.desc("xrapm"), "player_id")
+
+
+def prior_by(predictions: DataFrame, column: str, player_map: DataFrame, by: str, default: float = 0.0) -> DataFrame:
+    """`build_prior` for all values of `by` at once: by id in those where any id matches, else by name."""
+    ids = player_map.select(by, F.col("player_id").cast("string").alias("player_id"), "player_name")
+    by_name = predictions.groupBy(by, "player_name").agg(F.max(column).alias("_by_name"))
+    joined = ids.join(by_name, [by, "player_name"], "left")
+    if "player_id" not in predictions.columns:
+        return joined.select(by, "player_id", F.coalesce("_by_name", F.lit(default)).alias("prior"))
+    by_id = predictions.groupBy(by, F.col("player_id").cast("string").alias("player_id")).agg(F.max(column).alias("_by_id"), F.lit(True).alias("_known"))
+    joined = joined.join(by_id, [by, "player_id"], "left")
+    matched = joined.groupBy(by).agg(F.max(F.coalesce("_known", F.lit(False))).alias("_any"))
+    prior = F.coalesce(F.when(F.col("_any"), F.col("_by_id")).otherwise(F.col("_by_name")), F.lit(default))
+    return joined.join(matched, by).select(by, "player_id", prior.alias("prior"))
+
+
 def prior_ratings(fit: RidgeFit, player_map: DataFrame, lam: str | float = "min") -> DataFrame:
     """Ratings of a fit with priors: final value, deviation and prior per side."""
     table = fit.table(lam).where(~F.col("is_covariate"))

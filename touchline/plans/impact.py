@@ -1,14 +1,13 @@
 """Whole flows: match tables to impact ratings, per season and overall."""
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.operators import design as D, elastic_net as E, ratings as R, segments as S
 from touchline.operators.boosting import BoostedModel
 from touchline.operators.boxscore import regression_data
-from touchline.operators.ridge import RidgeFit, fit_ridge, fit_ridge_with_prior, prior_table
+from touchline.operators.ridge import RidgeFit, fit_ridge, fit_ridge_by, prior_offset, prior_table
 from touchline.session import cut_lineage
 
 
@@ -51,11 +50,11 @@ def fit_impact(
     return ImpactModel(design, ridge, targets, box, scores, ratings, agreement)
 
 
-def blended_scores(features: DataFrame, linear: RidgeFit, trees: BoostedModel | None, out: str) -> DataFrame:
+def blended_scores(features: DataFrame, linear: RidgeFit, trees: BoostedModel | None, out: str, by: list[str] = []) -> DataFrame:
     """Box-score predictions, half linear and half trees when both are given."""
-    scores = E.score_players(features, linear)
+    scores = E.score_players(features, linear, by=by)
     if trees is not None:
-        scores = E.blend_scores(scores, E.score_players_boosted(features, trees))
+        scores = E.blend_scores(scores, E.score_players_boosted(features, trees, by=by), by=by)
     return scores.withColumnRenamed("spm", out)
 
 
@@ -72,36 +71,27 @@ def seasonal_ratings(
     min_players: int = 50,
     lam: str | float = "min",
     **ridge_options,
-) -> dict[str, DataFrame | None]:
-    """Box-score, ridge and prior-based ratings per season.
+) -> dict[str, DataFrame]:
+    """Box-score, ridge and prior-based ratings of all seasons in one run.
 
-    `season_features` holds one row per player and season (box scores or season-end skills).
-    Seasons with few segments or rated players are left out.
+    `season_features` holds one row per player and season (box scores or season-end skills). Seasons with few segments or rated players
+    are left out. The design of all seasons is written once; one pass sums the cross products of every season for both targets,
+    the plain one and what the priors leave over, and each season is solved from its sums by itself.
     """
-    counts = segments.groupBy("season_end_year").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_segments)
-    parts = {"spm": [], "rapm": [], "xrapm": []}
-    for (season,) in sorted(counts.select("season_end_year").collect()):
-        own = segments.where(F.col("season_end_year") == season)
-        on_pitch = players.join(own.select("segment_id"), "segment_id", "left_semi")
-        design = D.design_rows(own, on_pitch, min_minutes)
-        if design.player_map.count() - 1 < min_players:
-            continue
-        design.rows = cut_lineage(design.rows)
-        features = season_features.where(F.col("season_end_year") == season)
-        offense = blended_scores(features, offense_model, offense_trees, "offense_spm")
-        defense = blended_scores(features, defense_model, defense_trees, "defense_spm")
-        spm = offense.join(defense.select("player_id", "defense_spm"), "player_id").withColumn(
-            "spm", F.col("offense_spm") - F.col("defense_spm")
-        )
-        prior = prior_table(
-            R.build_prior(offense, "offense_spm", design.player_map), R.build_prior(defense, "defense_spm", design.player_map)
-        )
-        tables = {
-            "spm": spm,
-            "rapm": R.ridge_ratings(fit_ridge(design, **ridge_options), design.player_map, lam),
-            "xrapm": R.prior_ratings(fit_ridge_with_prior(design, prior, **ridge_options), design.player_map, lam),
-        }
-        for name, df in tables.items():
-            parts[name].append(df.withColumn("season_end_year", F.lit(season)))
-    union = lambda frames: reduce(DataFrame.unionByName, frames) if frames else None
-    return {name: union(frames) for name, frames in parts.items()}
+    by = "season_end_year"
+    counts = segments.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_segments)
+    kept = segments.join(counts, by, "left_semi")
+    design = D.design_rows(kept, players, min_minutes, by=[by])
+    rated = design.player_map.where(F.col("player_id") != D.REPLACEMENT).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    enough = cut_lineage(rated.where(F.col("n") >= min_players).select(by))
+    player_map = design.player_map.join(enough, by, "left_semi")
+    features = season_features.join(enough, by, "left_semi")
+    offense = blended_scores(features, offense_model, offense_trees, "offense_spm", [by])
+    defense = blended_scores(features, defense_model, defense_trees, "defense_spm", [by])
+    spm = offense.join(defense.select(by, "player_id", "defense_spm"), [by, "player_id"]).withColumn("spm", F.col("offense_spm") - F.col("defense_spm"))
+    prior = prior_table(R.prior_by(offense, "offense_spm", player_map, by), R.prior_by(defense, "defense_spm", player_map, by), [by])
+    rows = prior_offset(design.rows.join(enough, by, "left_semi"), prior, [by]).withColumn("y_left", F.col("y") - F.col("offset"))
+    fits = fit_ridge_by(D.Design(cut_lineage(rows), player_map, design.covariates, design.dummy_prefixes), by, {"plain": "y", "left": "y_left"}, lam=lam, **ridge_options)
+    fits = cut_lineage(fits)
+    at = lambda target: fits.where(F.col("target") == target)
+    return {"spm": spm, "rapm": R.ratings_by(at("plain"), player_map, by), "xrapm": R.ratings_by(at("left"), player_map, by, prior)}

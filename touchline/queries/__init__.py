@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with its SQL where SQL can state it."""
 
-from touchline.queries import forecasts, lineups_and_segments, players, sequences, tables_and_pages
+from touchline.queries import fits, forecasts, lineups_and_segments, players, sequences, tables_and_pages
 
-MODULES = (sequences, lineups_and_segments, players, forecasts, tables_and_pages)
+MODULES = (sequences, lineups_and_segments, players, forecasts, tables_and_pages, fits)
 
 
 def all_queries() -> dict:
