@@ -21,15 +21,18 @@ from touchline.llm.common import cut, quoted, slices, text_or_empty
 ORDER = 4
 DISCOUNT = 0.75
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Numbers such as U+00BD count as word characters for `re`, though they are no letters. Apart, as a set without classes is fast.
-NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+#: Numbers such as U+00BD count as word characters for `re`, though they are no letters. Apart, and of the first
+#: plane alone, as such a set is fast.
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 UNKNOWN = "und"
 
 
 def letters(text: str) -> str:
     """' word word ' in lower case, empty without a letter."""
     words = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not words.isascii() and NUMBERS.search(words):
+    if not words.isascii():
+        if max(words) > "\uffff":
+            words = "".join(c if c.isalpha() else " " for c in words)
         words = " ".join(NUMBERS.sub(" ", words).split())
     return f" {words} " if words else ""
 
