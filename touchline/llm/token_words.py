@@ -12,6 +12,7 @@ import functools
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +21,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most distinct stretches that a worker remembers as recently used, and as many older ones.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300000
 LETTERS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{L}", c))
 DIGITS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{N}", c))
 SPACES = "\t-\r \x85\xa0"
@@ -49,17 +50,25 @@ class Words:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letters = dict(zip(range(256), byte_letters(), strict=True))
-        self.ids = Remembered(self.merge)
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        #: Ids of a stretch without a space or line end, as bytes.
-        self.stretches = Remembered(lambda part: np.array([i for w in self.words(part) for i in self.ids[w]], self.kind).tobytes())
+        self.type = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.type).type
+        #: Ids of a pre-token, and of a stretch without a space or line end, as bytes.
+        self.ids = Remembered(lambda word: array(self.type, self.merge(word)).tobytes())
+        self.stretches = Remembered(self.stretch)
 
     def spell(self, word: str) -> str:
         """The word in the vocabulary's letters, one a byte."""
+        if word.isascii() and word.isprintable():
+            return word
         return "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.library.model.tokenize(self.spell(word)))
+    def merge(self, word: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(self.spell(word))]
+
+    def stretch(self, part: str) -> bytes:
+        if part.isalpha() and (part.isascii() or not OTHER.search(part)):
+            return self.ids[part.lower()]
+        return b"".join(map(self.ids.__getitem__, self.words(part)))
 
     def parts(self, text: str):
         """Special strings as ids, the texts between them as stretches without a space or line end."""
