@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import actions as A, chains as C
 from touchline.operators.ordering import HotGroups, Ordering, hot_groups, split_hot
-from touchline.operators.ranking import exact_quantiles, with_ranks
+from touchline.operators.ranking import exact_quantiles, ranged_counts, with_ranks
 from touchline.queries.roles import actions, match_events
 
 
@@ -64,3 +64,16 @@ def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double")
     row = exact_quantiles(df, "v", {"a": 0.4, "m": 0.5, "top": 1.0}).first()
     assert (round(row.a, 9), row.m, row.top) == (2.2, 2.5, 10.0)
+
+
+def test_a_large_group_is_cut_into_ranges(spark):
+    """One of three groups has nine tenths of the rows, all distinct: its ranges are as large as the others'."""
+    key = F.when(F.col("id") < 54_000, "big").when(F.col("id") < 57_000, "b").otherwise("c")
+    df = spark.range(60_000).select(key.alias("k"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("v"))
+    ranges = ranged_counts(df, "v", ["k"])
+    sizes = {r[0]: r[1] for r in ranges.groupBy("_range").count().collect()}
+    assert len(sizes) >= 4 and max(sizes.values()) < 2 * sum(sizes.values()) / len(sizes)
+    got = with_ranks(df, "v", ["k"], rank_min="r", rank_min_desc="d", share_at_most="s").toPandas()
+    for _, own in got.groupby("k"):
+        assert (own.sort_values("v").r.to_numpy() == range(1, len(own) + 1)).all()
+        assert (own.r + own.d == len(own) + 1).all() and abs(own.s.max() - 1) < 1e-12

@@ -3,8 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from touchline.functions.numeric import col
-
-RANK_BUCKETS = 200
+from touchline.session import cut_lineage
 
 
 def modal_value(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -13,36 +12,34 @@ def modal_value(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
     return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(out))
 
 
+def ranged_counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Rows per group and distinct value (`_n`), dealt out by ranges of group and value; `_range` numbers the ranges in order.
+
+    Written once, since ranges are drawn from a sample: what is summed by range must see the same ranges.
+    """
+    counted = df.where(col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(counted.repartitionByRange(tasks, *keys, value).withColumn("_range", F.spark_partition_id()))
+
+
 def value_counts_before(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Per group and distinct value: rows with it (`_n`), rows below it (`_below`), rows in all (`_total`).
 
-    Values are counted first and cut into buckets at approximate quantiles, so a running
-    count never covers more than one bucket; the exact counts do not depend on the cuts.
+    Values are counted first and dealt out by range, so a large group is cut into as many ranges as it needs; a running count covers
+    one range of one group, and the counts of whole ranges, a row each, are what it starts from.
     """
-    counted = df.where(col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    bounds = counted.agg(F.percentile_approx(F.col(value).cast("double"), cuts)).scalar()
-    bucketed = counted.withColumn("_cuts", bounds).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(value).cast("double")))
-    ).drop("_cuts")
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
-    if keys:
-        over_buckets = W.partitionBy(*keys)
-    else:  # at most RANK_BUCKETS rows
-        over_buckets = W.partitionBy(F.lit(1))
-    offsets = per_bucket.select(
+    ranged = ranged_counts(df, value, keys)
+    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))  # a row a range
+    offsets = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in_range")).select(
         *keys,
-        "_bucket",
-        F.coalesce(
-            F.sum("_in_bucket").over(over_buckets.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_offset"),
-        F.sum("_in_bucket").over(over_buckets).alias("_total"),
+        "_range",
+        F.coalesce(F.sum("_in_range").over(over.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_in_range").over(over).alias("_total"),
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        bucketed.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
+        ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(offsets, [*keys, "_range"])
         .select(*keys, value, "_n", (F.col("_offset") + F.col("_inside")).alias("_below"), "_total")
     )
 
