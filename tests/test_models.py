@@ -28,5 +28,18 @@ def test_elastic_net_finds_the_signal(spark):
         (2 * F.sin(F.col("id").cast("double")) + 0.01 * F.cos(F.col("id") * 9.1)).alias("rapm"),
     )
     fit = E.fit_elastic_net(df, n_lambdas=30, n_folds=4)
+    ml = E.fit_elastic_net(df, n_lambdas=4, n_folds=2, solver="spark-ml")
+    sums = E.fit_elastic_net(df, n_lambdas=4, n_folds=2)
+    assert abs(ml.lambdas / sums.lambdas - 1).max() < 1e-6 and abs(ml.coefficients - sums.coefficients).max() < 1e-4 and abs(ml.r_squared - sums.r_squared) < 1e-4
     coef = dict(zip(fit.columns, fit.at("min")))
     assert abs(coef["a_p90"] - 2) < 0.1 and abs(coef["b_p90"]) < 0.05 and fit.r_squared > 0.99
+
+
+def test_elastic_net_of_one_fold_and_constant_predictors(spark):
+    df = spark.range(60).select(
+        F.lit("p").alias("player_id"), F.lit(900).alias("total_minutes"), F.sin(F.col("id").cast("double")).alias("a_p90"),
+        F.lit(3.0).alias("b_p90"), F.when(F.col("id") > 2, 2 * F.sin(F.col("id").cast("double"))).alias("rapm"),
+    )
+    fit = E.fit_elastic_net(df, lambdas=[0.5, 0.01], n_folds=4)
+    assert fit.cv_mean is None and fit.lambda_min == 0.5
+    assert fit.coefficients[:, 1].tolist() == [0.0, 0.0] and abs(fit.coefficients[1, 0] - 2) < 0.1

@@ -64,3 +64,11 @@ def test_prior_plus_deviation_and_stronger_penalty(spark, design):
 def test_season_filter(spark, design):
     matches = spark.createDataFrame([("m0", "2023-2024"), ("m1", "2024-2025")], "match_id string, season string")
     assert D.filter_seasons(design, matches, ["2024-2025"]).rows.count() == 6
+
+
+def test_absolute_penalty_silences_features(design):
+    some = G.fit_ridge(design, lambdas=[0.05], n_folds=2, alpha=1.0)
+    none = G.fit_ridge(design, n_lambdas=2, n_folds=2, alpha=1.0)
+    n = len(some.features)
+    assert 0 < (np.abs(some.coefficients[0][:n]) > 1e-9).sum() < n
+    assert np.abs(none.coefficients[0][:n]).max() < 1e-3 < np.abs(none.coefficients[-1][:n]).max()

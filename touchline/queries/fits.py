@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from touchline.operators import ridge as RG
+from touchline.operators import elastic_net as E, ridge as RG
 from touchline.operators.design import Design
 from touchline.queries.roles import rounded, table
 
@@ -29,8 +29,8 @@ def _prior(spark, folder):
     return table(spark, folder, "supplier").select(F.concat(F.lit("s"), k, F.lit("_off")).alias("feature"), (k / 10.0).alias("prior")).distinct()
 
 
-def _coefficients(fit):
-    out = fit.table(LAMBDA).select("feature", "coefficient")
+def _coefficients(fit, lam: float = LAMBDA):
+    out = fit.table(lam).select("feature", "coefficient")
     return out.unionByName(out.sparkSession.createDataFrame([("(intercept)", float(fit.intercepts[0]))], "feature string, coefficient double"))
 
 
@@ -63,7 +63,18 @@ def ridge_paths(spark, folder):
     return rounded(fit.cv_table().select("lambda", "mean_error", "error_sd"))
 
 
-QUERIES = {"ridge_player_columns": ridge_player_columns, "ridge_with_prior": ridge_with_prior, "season_fits": season_fits, "ridge_paths": ridge_paths}
+def elastic_net_two_predictors(spark, folder):
+    """Both coefficients and the intercept of an elastic net at one penalty, weighted by the root of minutes."""
+    data = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias("player_id"), F.col("p_retailprice").alias("total_minutes"),
+        F.sin("p_retailprice").alias("a_p90"), (F.col("p_size") / 50.0 + F.sin("p_retailprice") / 4.0).alias("b_p90"),
+        (F.sin("p_retailprice") + F.col("p_size") / 25.0 + F.cos(F.col("p_partkey").cast("double"))).alias("rapm"),
+    )
+    fit = E.fit_elastic_net(data, ["a_p90", "b_p90"], lambdas=[0.3], n_folds=2)
+    return rounded(_coefficients(fit, 0.3), 5)
+
+
+QUERIES = {"elastic_net_two_predictors": elastic_net_two_predictors, "ridge_player_columns": ridge_player_columns, "ridge_with_prior": ridge_with_prior, "season_fits": season_fits, "ridge_paths": ridge_paths}
 
 _ROWS = """
   SELECT row_number() OVER () AS id, l_orderkey % 3 AS season, l_quantity * 1.0 AS w, l_linenumber * 1.0 AS gd,
@@ -111,4 +122,16 @@ ORACLES = {
       FROM (SELECT *, CASE WHEN f LIKE 's%_off' THEN CAST(regexp_extract(f, '[0-9]+') AS INT) / 10.0 ELSE 0 END AS p FROM solved)""",
     "season_fits": f"""WITH RECURSIVE {_solved("SELECT concat(season, ':', q.target) AS k, id, w, y - CASE WHEN q.target = 'left' THEN off ELSE 0 END AS y, gd, tokens FROM (" + _ROWS + ") CROSS JOIN (VALUES ('plain'), ('left')) q(target)")}
       SELECT CAST(split_part(k, ':', 1) AS INT) AS season, split_part(k, ':', 2) AS target, f AS feature, round(beta, 6) + 0 AS coefficient, free AS is_covariate FROM solved""",
+    # each coefficient in turn, given the other, on the scale of unit variances
+    "elastic_net_two_predictors": """WITH RECURSIVE
+      d AS (SELECT sqrt(p_retailprice) AS w, sin(p_retailprice) AS a, p_size / 50.0 + sin(p_retailprice) / 4.0 AS b, sin(p_retailprice) + p_size / 25.0 + cos(p_partkey) AS y FROM part),
+      m AS (SELECT sum(w * a) / sum(w) AS a, sum(w * b) / sum(w) AS b, sum(w * y) / sum(w) AS y FROM d),
+      v AS (SELECT sum(w * (d.a - m.a) ** 2) / sum(w) AS aa, sum(w * (d.b - m.b) ** 2) / sum(w) AS bb, sum(w * (d.y - m.y) ** 2) / sum(w) AS yy, sum(w * (d.a - m.a) * (d.b - m.b)) / sum(w) AS ab,
+        sum(w * (d.a - m.a) * (d.y - m.y)) / sum(w) AS ay, sum(w * (d.b - m.b) * (d.y - m.y)) / sum(w) AS uy FROM d, m),
+      r AS (SELECT ab / sqrt(aa * bb) AS c, ay / sqrt(aa * yy) AS ra, uy / sqrt(bb * yy) AS rb, 0.3 / sqrt(yy) AS l, sqrt(yy / aa) AS sa, sqrt(yy / bb) AS sb FROM v),
+      it AS (SELECT 0 AS step, 0::DOUBLE AS x, 0::DOUBLE AS z UNION ALL
+        SELECT step + 1, x, sign(rb - c * x) * greatest(abs(rb - c * x) - l / 2, 0) / (1 + l / 2) FROM (
+          SELECT step, sign(ra - c * z) * greatest(abs(ra - c * z) - l / 2, 0) / (1 + l / 2) AS x, c, rb, l FROM it, r WHERE step < 200)),
+      s AS (SELECT x * sa AS x, z * sb AS z FROM it, r WHERE step = 200)
+      SELECT 'a_p90' AS feature, round(x, 5) AS coefficient FROM s UNION ALL SELECT 'b_p90', round(z, 5) FROM s UNION ALL SELECT '(intercept)', round(m.y - x * m.a - z * m.b, 5) FROM s, m""",
 }

@@ -182,7 +182,7 @@ def box_score_scores(spark, folder):
 def box_score_blend(spark, folder):
     data = cut_lineage(_fit_data(spark, folder))
     columns = ["goals_p90", "pass_accuracy", "tackles_p90"]
-    linear = E.score_players(data, E.fit_elastic_net(data, columns, n_lambdas=10, n_folds=3))
+    linear = E.score_players(data, E.fit_elastic_net(data))
     trees = E.fit_boosted_boxscore(data, columns, n_folds=2, rounds=5, max_depth=3)
     return E.blend_scores(linear, E.score_players_boosted(data, trees))
 
