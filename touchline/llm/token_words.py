@@ -20,8 +20,8 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most distinct stretches that a worker remembers as recently used, and as many older ones.
-CACHE_WORDS = 300000
+#: Most distinct stretches, and pre-tokens, that a worker remembers.
+CACHE_WORDS = 400_000
 LETTERS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{L}", c))
 DIGITS = "".join(c for c in map(chr, range(0x300)) if regex.match(r"\p{N}", c))
 SPACES = "\t-\r \x85\xa0"
@@ -66,8 +66,12 @@ class Words:
         return [t.id for t in self.library.model.tokenize(self.spell(word))]
 
     def stretch(self, part: str) -> bytes:
-        if part.isalpha() and (part.isascii() or not OTHER.search(part)):
-            return self.ids[part.lower()]
+        if part.isascii() or not OTHER.search(part):
+            if part.isalpha():
+                return self.ids[part.lower()]
+            word, last = part[:-1], part[-1:]
+            if last in ".,;:!?" and word.isalpha():
+                return self.ids[word.lower()] + self.ids[last]
         return b"".join(map(self.ids.__getitem__, self.words(part)))
 
     def parts(self, text: str):
@@ -101,21 +105,22 @@ class Words:
 
 
 class Remembered(dict):
-    """Answers by word. When there are too many, those not asked for since the last time go; lasting ones stay."""
+    """Answers by word. The first words to come stay, as frequent ones come early; when many others were asked for, it starts anew."""
 
     def __init__(self, answer, lasting=()):
         super().__init__(lasting)
-        self.answer, self.lasting, self.older = answer, lasting, {}
+        self.answer, self.lasting, self.passed = answer, lasting, 0
 
     def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS + len(self.lasting):
-            self.older = dict(self)
+        got = self.answer(word)
+        if len(self) < CACHE_WORDS + len(self.lasting):
+            self[word] = got
+            return got
+        self.passed += 1
+        if self.passed > 4 * CACHE_WORDS:
             self.clear()
             self.update(self.lasting)
-        got = self.older.get(word)
-        if got is None:
-            got = self.answer(word)
-        self[word] = got
+            self.passed = 0
         return got
 
 
