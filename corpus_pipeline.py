@@ -37,7 +37,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the byte-level BPE per document and their decoding, as counts and digests."""
-    return bpe.encode(docs)
+    return bpe.encode(docs, files=True)
 
 
 STAGES = [

@@ -7,12 +7,15 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import regex
 from check import compare, connect
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from touchline.llm import bpe, components, embeddings, fingerprints, html_text, language, minhash, mixing, queries, shingles, token_counts, token_files, token_words, warc, wavelet
+from touchline.llm.common import cut
 
 LONG = "Long words in a row, " * 20_000
 ODD = [
@@ -278,6 +281,26 @@ def test_byte_bpe(docs, texts, odd, empty, tiktoken_encoding):
     assert bpe.encode(empty).count() == 0
 
 
+def test_every_distinct_word_is_folded(spark, docs, tiktoken_encoding, tmp_path):
+    """All words of all documents, rare and long ones too, reach the fold once and every block gets theirs back."""
+    more = [(-1, "rarestwordofall " + "w" * 300 + " it's 日本語"), (-2, None), (None, "")]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = cut(bpe.in_blocks(frame, 20_000), "rows")
+    want = {(r.block, w) for r in rows.collect() for w in regex.findall(public_tokenizers.PATTERN, r.t)}
+    got = bpe.folded_words(rows, bpe.default_path(), public_tokenizers.PATTERN, 100, 4096).collect()
+    assert {(r.block, r.word) for r in got} == want and len({b for b, _ in want}) > 3
+    assert all(r.ids == tiktoken_encoding._core_bpe.encode_single_piece(r.word.encode()) for r in got)
+    # documents are spelled from that table alone
+    spark.createDataFrame([(b, w, [7, 8]) for b, w in want], "block long, word string, ids array<int>").write.partitionBy("block").parquet(f"file://{tmp_path}/t")
+    ids = bpe.spelled(rows, f"file://{tmp_path}/t", bpe.default_path(), public_tokenizers.PATTERN, 4096).collect()
+    assert all(set(r.ids) <= {7, 8} for r in ids) and len(ids) == rows.count()
+
+
+def test_words_split_as_the_pattern_does():
+    own = ["it's 'tis don't 12's x'll'd a 'S", " 'real 've\n\n 3'm", "é'ré ß 'll ½'d", "\u0130's 日本's", "a\u0300's  b", "''s 's's"]
+    assert all(bpe.pre_tokens(t, public_tokenizers.PATTERN) == regex.findall(public_tokenizers.PATTERN, t) for t in own)
+
+
 def test_folds_and_merges_agree_with_the_library(spark, tiktoken_encoding):
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdeth inZé語") for _ in range(rnd.randint(1, 14))) for _ in range(150)]

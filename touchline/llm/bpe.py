@@ -1,28 +1,32 @@
 """Byte-level BPE by rank files.
 
-Frequent distinct words are folded ahead by Spark's higher-order functions: the bytes of a word are an array of pieces, and each
-step merges the first adjacent pair of the lowest rank, which a literal rank map gives. Their number is bounded, so the ids go to
-all tasks. Documents are then split into words and spelled from these ids; a word outside them is merged by its ranks in the
-task (see `encode` for why). Decoding concatenates the tokens' binary pieces.
+Every distinct word of the documents is folded once by Spark's higher-order functions: the bytes of a word are an array of pieces,
+and each step merges the first adjacent pair of the lowest rank, which a literal rank map gives. A block of documents (neighbouring
+rows of a file) gives its distinct words; they meet by word, are folded, and go back to their blocks with the ids as a table, so
+that no text is shuffled. Documents are then split into words again and spelled from the ids of their block. Digests and
+decoding, a concatenation of the tokens' binary pieces, are Spark expressions over a document's ids.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
 import json
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cut, slices, text_or_empty
+from touchline.llm.common import cut, shared_folder, slices, tasks, text_or_empty
 from touchline.llm.token_words import DIGITS, LETTERS, OTHER, SPACES, Remembered
 
 #: Buckets of the literal rank map: a lookup reads the few entries of one bucket.
@@ -31,6 +35,10 @@ BUCKETS = 1 << 15
 WHITE = SPACES + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: The first choices of the rank files' pattern.
+ENDINGS, WORDS = "'s|'t|'re|'ve|'m|'ll|'d|", r" ?\p{L}+| ?\p{N}+|"
+
+
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -43,7 +51,12 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 @functools.lru_cache(maxsize=2)
 def splitters(pattern: str) -> tuple[re.Pattern, regex.Pattern]:
-    """The pattern for texts below U+0300, with letters and digits written out, and for all texts."""
+    """The pattern for texts below U+0300, with letters and digits written out, and for all texts.
+
+    Words and numbers are tried ahead of the endings, which no word or number begins like: the same matches in less time.
+    """
+    if pattern.startswith(ENDINGS + WORDS):
+        pattern = WORDS + ENDINGS + pattern[len(ENDINGS + WORDS) :]
     plain = pattern.replace("[^\\s\\p{L}\\p{N}]", f"[^{SPACES}{LETTERS}{DIGITS}]").replace("\\p{L}", f"[{LETTERS}]").replace("\\p{N}", f"[{DIGITS}]").replace("\\s", f"[{SPACES}]").replace("\\S", f"[^{SPACES}]")
     wide = pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
     return re.compile(plain), regex.compile(wide)
@@ -51,7 +64,12 @@ def splitters(pattern: str) -> tuple[re.Pattern, regex.Pattern]:
 
 def pre_tokens(text: str, pattern: str) -> list[str]:
     plain, wide = splitters(pattern)
-    return (plain if text.isascii() or not OTHER.search(text) else wide).findall(text)
+    try:
+        text.encode("latin-1")  # much faster than a search, and most texts pass
+    except UnicodeEncodeError:
+        if OTHER.search(text):
+            return wide.findall(text)
+    return plain.findall(text)
 
 
 # the fold by Spark's higher-order functions
@@ -78,38 +96,107 @@ def folded_ids(word: Column, path: str) -> Column:
 
 
 def folded_by(word: Column, ranks: Column) -> Column:
+    none = F.array().cast("array<int>")
+
     def rank(piece):
         return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
 
-    def merged(pieces, at):
-        pair = F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))
-        return F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(pair), F.slice(pieces, at + 2, F.size(pieces)))
-
-    def step(pieces, _):
-        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: rank(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))))
-        best = let(pairs, lambda p: let(F.array_min(p), lambda low: F.when(low.isNull(), pieces).otherwise(merged(pieces, F.array_position(p, low).cast("int")))))
-        return F.when(F.size(pieces) < 2, pieces).otherwise(best)
+    def merged(state, at, piece):
+        """Pieces and ranks of pairs with the pieces `at` and `at` + 1 as one; only the ranks beside it are looked up."""
+        pieces, pairs = state["pieces"], state["pairs"]
+        left = F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(rank(F.concat(F.get(pieces, at - 2), piece))))).otherwise(none)
+        right = F.when(at < F.size(pairs), F.concat(F.array(rank(F.concat(piece, F.get(pieces, at + 1)))), F.slice(pairs, at + 2, F.size(pairs)))).otherwise(none)
+        joined = F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(piece), F.slice(pieces, at + 2, F.size(pieces)))
+        return F.struct(joined.alias("pieces"), F.concat(left, right).alias("pairs"))
+
+    def step(state, _):
+        place = lambda low: F.array_position(state["pairs"], low).cast("int")
+        both = lambda at: F.concat(F.get(state["pieces"], at - 1), F.get(state["pieces"], at))
+        best = lambda low: let(place(low), lambda at: let(both(at), lambda piece: merged(state, at, piece)))
+        return let(F.array_min(state["pairs"]), lambda low: F.when(low.isNull(), state).otherwise(best(low)))
+
+    def folded(single):
+        pairs = F.transform(F.slice(single, F.lit(1), F.size(single) - 1), lambda piece, k: rank(F.concat(piece, F.get(single, k + 1))))
+        state = F.struct(single.alias("pieces"), pairs.alias("pairs"))
+        return F.aggregate(F.sequence(F.lit(2), F.size(single)), state, step, lambda end: end["pieces"])
 
     digits = F.hex(word.cast("binary"))
     n = (F.length(digits) / 2).cast("int")
     single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    fold = F.when(n > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), single, step)).otherwise(single)
+    fold = let(single, lambda pieces: F.when(n > 1, folded(pieces)).otherwise(pieces))
     # a word that is a token is taken whole, as the library does
     return let(rank(digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(fold, rank)))
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, words: int, longest: int, chars: int) -> dict[str, list[int]]:
-    """Ids of the most frequent words of at most `longest` bytes in a sample of about `chars` characters; `words` bounds them.
+# the words of blocks of documents
+
+
+def in_blocks(docs: DataFrame, chars: int) -> DataFrame:
+    """`doc_id, t, block`: rows of a file that follow one another, about `chars` characters, share a block.
+
+    File and row number are the same in every read; rows without them are written first.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", text_or_empty().alias("t"), place["file_path"].alias("file"), place["row_index"].alias("at"))
+    except AnalysisException:
+        return in_blocks(cut(docs.select("doc_id", "text"), "texts"), chars)
+    n, total = rows.agg(F.count("*"), F.sum(F.length("t"))).first()
+    each = max(1, chars * n // max(1, total or 0))
+    return rows.select("doc_id", "t", F.xxhash64("file", F.floor(F.col("at") / each)).alias("block"))
+
+
+def block_words(rows: DataFrame, pattern: str, words: int, longest: int) -> DataFrame:
+    """`block, word`: each block's distinct words of at most `longest` bytes; a task gives them on when it holds more than `words`."""
+
+    def run(batches):
+        block, held = None, set()
+
+        def given():
+            own = sorted(w for w in held if len(w) * 4 <= longest or len(w.encode("utf-8", "replace")) <= longest)
+            held.clear()
+            for at in range(0, len(own), 1 << 14):
+                part = own[at : at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
+
+        for b in slices(batches):
+            for here, text in zip(b["block"].to_pylist(), b["t"].to_pylist(), strict=True):
+                if here != block or len(held) > words:
+                    yield from given()
+                    block = here
+                held.update(pre_tokens(text, pattern))
+        yield from given()
+
+    return rows.select("block", "t").mapInArrow(run, "block long, word string")
+
+
+def folded_words(rows: DataFrame, path: str, pattern: str, words: int, longest: int) -> DataFrame:
+    """`block, word, ids`: the words of every block with their ids; each distinct word of all blocks is folded once.
 
-    The choice of words decides only where a word is merged, never its ids.
+    The first block of a word folds it, and a window hands the ids on to its other blocks.
     """
-    texts = docs.select(text_or_empty().alias("t"))
-    total = texts.agg(F.sum(F.length("t"))).first()[0] or 0
-    drawn = texts.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < min(1.0, chars / max(1, total)) * (1 << 20))
-    counted = drawn.select(F.explode(F.regexp_extract_all("t", F.lit("(?U)" + pattern), F.lit(0))).alias("word")).groupBy("word").count()
-    most = cut(counted.filter(F.octet_length("word").between(1, longest)).orderBy(F.desc("count"), "word").limit(words), "words")
-    folded = most.repartition(12, "word").select("word", folded_ids(F.col("word"), path).alias("ids")).toArrow()
-    return dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist(), strict=True))
+    found = block_words(rows, pattern, words, longest).repartition(tasks(rows.sparkSession), "word")
+    same = Window.partitionBy("word").orderBy("block")
+    ids = F.when(F.col("nth") == 1, folded_ids(F.col("word"), path))
+    folded = found.withColumn("nth", F.row_number().over(same)).select("block", "word", "nth", ids.alias("ids"))
+    handed = F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return folded.select("block", "word", handed.alias("ids"))
+
+
+def ids_of_block(folder: str, block: int) -> dict[str, bytes]:
+    """The block's words, each with its ids as 32-bit integers."""
+    files, root = pafs.FileSystem.from_uri(f"{folder}/block={block}")
+    out: dict[str, bytes] = {}
+    for found in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if not found.base_name.endswith(".parquet"):
+            continue
+        with files.open_input_file(found.path) as f:
+            for b in pq.ParquetFile(f).iter_batches(1 << 16, columns=["word", "ids"]):
+                ids = b["ids"]
+                raw = np.asarray(ids.flatten(), np.int32).tobytes()
+                ends = np.concatenate([[0], np.cumsum(ids.value_lengths())]) * 4
+                out.update(zip(b["word"].to_pylist(), map(raw.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist())), strict=True))
+    return out
 
 
 # the same merges for a single word
@@ -157,35 +244,57 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 NONE = 1 << 40
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, words: int = 1 << 14, longest: int = 64, chars: int = 20_000_000, texts: bool = False) -> DataFrame:
-    """`doc_id, n_tokens, ids_sha256, decoded_sha256` per row; with `texts` also `ids` (array<int>) and `decoded` (binary).
+def decoded(ids: Column, path: str) -> Column:
+    """Bytes of ids: the tokens' pieces, in hex digits, concatenated."""
+    ranks = ranks_of(path)
+    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    return F.unhex(F.array_join(let(literal, lambda own: F.transform(ids, lambda i: F.get(own, i))), ""))
 
-    Words outside the frequent ones are merged in the task, where a word costs a few microseconds once per worker; folding them all
-    by higher-order functions takes about 40 each and their ids would have to be joined back to the documents, two more
-    shuffles of the corpus. Null text is empty (no ids); rows that repeat stay.
-    """
-    path = path or default_path()
-    ready = frequent_words(docs, path, pattern, words, longest, chars)
+
+def spelled(rows: DataFrame, folder: str, path: str, pattern: str, longest: int) -> DataFrame:
+    """`doc_id, ids` of rows in blocks, from the words of their block."""
 
     def run(batches):
-        ranks = ranks_of(path)
-        pieces = {i: t for t, i in ranks.items()}
-        known = Remembered(lambda w: merge(w.encode("utf-8", "replace"), ranks), ready)
+        block, known = None, {}
+
+        def alone(word: str) -> bytes:
+            raw = word.encode("utf-8", "replace")
+            if len(raw) <= longest:
+                raise ValueError(f"a word of block {block} is new: the rows of `docs` changed between two reads")
+            return np.array(merge(raw, ranks_of(path)), np.int32).tobytes()
+
         for b in slices(batches):
-            columns = [[], [], [], [], []]
-            for text in b["t"].to_pylist():
-                ids: list[int] = []
-                for got in map(known.__getitem__, pre_tokens(text, pattern)):
-                    ids += got
-                decoded = b"".join(map(pieces.__getitem__, ids))
-                own = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if texts else None, decoded if texts else None)
-                for column, value in zip(columns, own, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-            own = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *own[: 5 if texts else 3]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * texts]])
-
-    rows = docs.select("doc_id", text_or_empty().alias("t"))
-    more = [F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("decoded")] if texts else []
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *more).schema
-    return rows.mapInArrow(run, schema)
+            out = []
+            for here, text in zip(b["block"].to_pylist(), b["t"].to_pylist(), strict=True):
+                if here != block:
+                    known = Remembered(alone, {})
+                    known.update(ids_of_block(folder, here))
+                    block = here
+                out.append(b"".join(map(known.__getitem__, pre_tokens(text, pattern))))
+            ends = np.concatenate([[0], np.cumsum([len(o) // 4 for o in out])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], ids], ["doc_id", "ids"])
+
+    return rows.mapInArrow(run, rows.select("doc_id", F.lit(None).cast("array<int>").alias("ids")).schema)
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, words: int = 1 << 20, longest: int = 4096, chars: int = 32_000_000, texts: bool = False, files: bool = False) -> DataFrame:
+    """`doc_id, n_tokens, ids_sha256, decoded_sha256` per row; with `texts` also `ids` (array<int>) and `decoded` (binary).
+
+    All distinct words are folded by higher-order functions. Only words of more than `longest` bytes, for which a fold of arrays
+    costs the square of their length, are merged by the same ranks in the task. `chars` is the size of a block of documents, `words`
+    the most that a task holds while it looks for a block's words. With `files`, `docs` is a table as read from files and needs no
+    copy; other rows are written first, as both reads must see the same. Null text is empty (no ids); rows that repeat stay.
+    """
+    path = path or default_path()
+    rows = in_blocks(docs if files else cut(docs.select("doc_id", "text"), "texts"), chars)
+    folder = f"{shared_folder(docs.sparkSession, 'words')}/table"
+    found = folded_words(rows, path, pattern, words, longest).repartition(tasks(docs.sparkSession), "block")
+    found.write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    own = spelled(rows, folder, path, pattern, longest).select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded"))
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digests = [F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return own.select("doc_id", *digests, *["ids", "decoded"][: 2 * texts])

@@ -36,7 +36,7 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.encode(table(spark, sf_dir, "documents"), files=True)
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
