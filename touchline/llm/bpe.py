@@ -110,10 +110,10 @@ def folded_by(word: Column, ranks: Column) -> Column:
         return F.struct(joined.alias("pieces"), F.concat(left, right).alias("pairs"))
 
     def step(state, _):
-        place = lambda low: F.array_position(state["pairs"], low).cast("int")
+        low = F.array_min(state["pairs"])  # found again where it is needed: `let` would copy the state
         both = lambda at: F.concat(F.get(state["pieces"], at - 1), F.get(state["pieces"], at))
-        best = lambda low: let(place(low), lambda at: let(both(at), lambda piece: merged(state, at, piece)))
-        return let(F.array_min(state["pairs"]), lambda low: F.when(low.isNull(), state).otherwise(best(low)))
+        best = let(F.array_position(state["pairs"], low).cast("int"), lambda at: let(both(at), lambda piece: merged(state, at, piece)))
+        return F.when(low.isNull(), state).otherwise(best)
 
     def folded(single):
         pairs = F.transform(F.slice(single, F.lit(1), F.size(single) - 1), lambda piece, k: rank(F.concat(piece, F.get(single, k + 1))))
