@@ -312,6 +312,22 @@ def test_folds_and_merges_agree_with_the_library(spark, tiktoken_encoding):
     assert all(bpe.merge(w.encode(), ranks) == single(w) for w in words + longer)
 
 
+def test_folds_of_other_rank_files(spark, tiktoken_encoding, tmp_path):
+    """Words that merges don't end in are taken whole, equal ranks go from the left, and a byte without a rank may be part of a token."""
+    ranks = {bytes([b]): b for b in range(256) if b != ord("z")} | {b"aa": 300, b"ab": 301, b"xyw": 302, b"zz": 303, b"aaaa": 70_000}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
+    want = {"aaa": [300, 97], "aaab": [300, 301], "aab": [300, 98], "aaaaa": [70_000, 97], "xyw": [302], "xyww": [120, 121, 119, 119], "zz": [303], "azz": [97, 303], "zzz": [303, None], "é": [195, 169]}
+    got = spark.createDataFrame([(w,) for w in want], "w string").select("w", bpe.folded_ids(F.col("w"), str(path)).alias("ids")).collect()
+    assert {r.w: r.ids for r in got} == want
+
+
+def test_a_fold_looks_pairs_up_by_number(spark):
+    """A step hashes no digits of pieces and searches no array by `array_position`, which throws an exception to return."""
+    own = str(bpe.folded_ids(F.col("w"), bpe.default_path()))
+    assert "aggregate" in own and "array_position" not in own and "crc32" not in own
+
+
 def test_fingerprints(spark, docs, texts):
     order = sorted(texts, reverse=True)
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs, batch=7, spread=5).collect()}

@@ -1,7 +1,7 @@
 """Byte-level BPE by rank files.
 
 Every distinct word of the documents is folded once by Spark's higher-order functions: the bytes of a word are an array of pieces,
-and each step merges the first adjacent pair of the lowest rank, which a literal rank map gives. A block of documents (neighbouring
+and each step merges the first adjacent pair of the lowest rank, which a literal map of pairs gives. A block of documents (neighbouring
 rows of a file) gives its distinct words; they meet by word, are folded, and go back to their blocks with the ids as a table, so
 that no text is shuffled. Documents are then split into words again and spelled from the ids of their block. Digests and
 decoding, a concatenation of the tokens' binary pieces, are Spark expressions over a document's ids.
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from touchline.llm.common import cut, shared_folder, slices, tasks, text_or_empty
 from touchline.llm.token_words import DIGITS, LETTERS, OTHER, SPACES, Remembered
 
-#: Buckets of the literal rank map: a lookup reads the few entries of one bucket.
-BUCKETS = 1 << 15
+#: Buckets of the literal rank map, a prime: a lookup reads the few entries of one bucket.
+BUCKETS = 65_521
+CELLS = "array<bigint>"
 #: All of Unicode's white space, as `\\s` of the rank files' pattern has it.
 WHITE = SPACES + "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -75,57 +76,106 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
 # the fold by Spark's higher-order functions
 
 
-def rank_map(path: str) -> Column:
-    """The ranks as a literal: an array of maps from a token's hex digits to its rank, dealt by CRC-32."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+@functools.lru_cache(maxsize=2)
+def pieces_of(path: str) -> dict[bytes, int]:
+    """Ids of all pieces: the ranks, and numbers above them for bytes that the file leaves out."""
+    ranks = ranks_of(path)
+    top = max(ranks.values()) + 1
+    return ranks | {one: top + b for b in range(256) if (one := bytes([b])) not in ranks}
+
+
+def literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+
+
+def bits_of(path: str) -> int:
+    """Bits of a piece's id; the number of all ones is no id."""
+    return (max(pieces_of(path).values()) + 1).bit_length()
+
+
+@functools.lru_cache(maxsize=2)
+def pair_ranks(path: str) -> list[dict[int, int]]:
+    """The rank of every pair of pieces that are a token together, by the ids of both, dealt to buckets."""
+    pieces, bits = pieces_of(path), bits_of(path)
+    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks_of(path).items():
-        key = token.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+        for k in range(1, len(token)):
+            left, right = pieces.get(token[:k]), pieces.get(token[k:])
+            if left is not None and right is not None:
+                key = left << bits | right
+                buckets[key % BUCKETS][key] = rank
+    return buckets
+
 
+@functools.lru_cache(maxsize=2)
+def unmerged(path: str) -> dict[str, int]:
+    """Tokens, in hex digits, that merges don't end in: only these must be looked for as whole words."""
+    pieces = pieces_of(path)
+    return {t.hex().upper(): r for t, r in ranks_of(path).items() if merged_alone(t, pieces) != [r]}
 
-def let(value: Column, body) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+
+def let(value: Column, body, kind: str) -> Column:
+    """`body`, of type `kind`, of a value that is computed once.
+
+    A fold of one element: the type of a lambda's variable is known, while that of an element of a transformed array would be worked
+    out from the whole body for every row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, own: body(own))
 
 
 def folded_ids(word: Column, path: str) -> Column:
-    """Ids of a word (array<int>): ranked merges folded over the array of its bytes, in hex digits."""
+    """Ids of a word (array<int>): ranked merges folded over the array of its bytes."""
     # one literal for all lookups: the plan and its descriptions hold it once
-    return let(rank_map(path), lambda ranks: folded_by(word, ranks))
-
-
-def folded_by(word: Column, ranks: Column) -> Column:
-    none = F.array().cast("array<int>")
-
-    def rank(piece):
-        return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
-
-    def merged(state, at, piece):
-        """Pieces and ranks of pairs with the pieces `at` and `at` + 1 as one; only the ranks beside it are looked up."""
-        pieces, pairs = state["pieces"], state["pairs"]
-        left = F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), F.array(rank(F.concat(F.get(pieces, at - 2), piece))))).otherwise(none)
-        right = F.when(at < F.size(pairs), F.concat(F.array(rank(F.concat(piece, F.get(pieces, at + 1)))), F.slice(pairs, at + 2, F.size(pairs)))).otherwise(none)
-        joined = F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(piece), F.slice(pieces, at + 2, F.size(pieces)))
-        return F.struct(joined.alias("pieces"), F.concat(left, right).alias("pairs"))
-
-    def step(state, _):
-        low = F.array_min(state["pairs"])  # found again where it is needed: `let` would copy the state
-        both = lambda at: F.concat(F.get(state["pieces"], at - 1), F.get(state["pieces"], at))
-        best = let(F.array_position(state["pairs"], low).cast("int"), lambda at: let(both(at), lambda piece: merged(state, at, piece)))
-        return F.when(low.isNull(), state).otherwise(best)
-
-    def folded(single):
-        pairs = F.transform(F.slice(single, F.lit(1), F.size(single) - 1), lambda piece, k: rank(F.concat(piece, F.get(single, k + 1))))
-        state = F.struct(single.alias("pieces"), pairs.alias("pairs"))
-        return F.aggregate(F.sequence(F.lit(2), F.size(single)), state, step, lambda end: end["pieces"])
-
-    digits = F.hex(word.cast("binary"))
-    n = (F.length(digits) / 2).cast("int")
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    fold = let(single, lambda pieces: F.when(n > 1, folded(pieces)).otherwise(pieces))
+    pairs = literal(pair_ranks(path), "array<map<string,bigint>>")
+    return let(pairs, lambda ranks: folded_by(word, ranks, path), "array<int>")
+
+
+def folded_by(word: Column, ranks: Column, path: str) -> Column:
+    """A piece is one number: the rank of its pair with the next piece, its place and its id, so the least is the first pair of the lowest rank."""
+    bits = bits_of(path)
+    above = 63 - bits  # the rank's lowest bit; places have the bits between
+    none = ((1 << bits) - 1) << above
+    own, rest = (1 << bits) - 1, (1 << above) - 1
+    places = rest - own
+
+    def beside(left, right):
+        """The rank of a pair, in its place; `none` if it is no token or has no right piece."""
+        found = lambda key: F.element_at(F.get(ranks, (key % BUCKETS).cast("int")), key.cast("string"))
+        return F.coalesce(F.shiftleft(let(F.shiftleft(left, bits).bitwiseOR(right), found, "bigint"), above), F.lit(none))
+
+    def merged(cells, low, before):
+        """The piece after `before` and the next as one, whose id is the rank of their pair; only the ranks beside it are looked up."""
+        at, piece = F.size(before), F.shiftright(low, above)
+        joined = beside(piece, F.get(cells, at + 2).bitwiseAND(own)).bitwiseOR(low.bitwiseAND(places)).bitwiseOR(piece)
+        last = lambda cell: beside(cell.bitwiseAND(own), piece).bitwiseOR(cell.bitwiseAND(rest))
+        here = F.when(at > 0, F.array(last(F.get(before, at - 1)), joined)).otherwise(F.array(joined))
+        whole = lambda new: F.concat(F.slice(before, F.lit(1), F.greatest(at - 1, F.lit(0))), new, F.slice(cells, at + 3, F.size(cells)))
+        return let(here, whole, CELLS)
+
+    def step(cells, _):
+        # found by a filter, as `array_position` throws and catches an exception for whatever it finds
+        before = lambda low: let(low.bitwiseAND(places), lambda here: F.filter(cells, lambda cell: cell.bitwiseAND(places) < here), CELLS)
+        best = lambda low: F.when(low >= none, cells).otherwise(let(before(low), lambda left: merged(cells, low, left), CELLS))
+        return let(F.array_min(cells), best, CELLS)
+
+    pieces = pieces_of(path)
+    codes = literal([pieces[bytes([b])] for b in range(256)], "array<bigint>")
+    letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")  # one a byte
+    single = F.transform(letters, lambda c: F.get(codes, F.ascii(c)))
+    first = lambda ids: F.transform(ids, lambda i, k: beside(i, F.get(ids, k + 1)).bitwiseOR(F.shiftleft(k.cast("long"), bits)).bitwiseOR(i))
+    fold = let(let(single, first, CELLS), lambda cells: F.aggregate(F.slice(cells, F.lit(2), F.size(cells)), cells, step), CELLS)
+    folded = F.transform(fold, lambda cell: cell.bitwiseAND(own).cast("int"))
+    if len(pieces) > len(ranks_of(path)):
+        top = max(ranks_of(path).values())
+        folded = F.transform(folded, lambda i: F.when(i <= top, i))
+    if not (known := unmerged(path)):
+        return folded
     # a word that is a token is taken whole, as the library does
-    return let(rank(digits), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(fold, rank)))
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for digits, rank in known.items():
+        buckets[zlib.crc32(digits.encode()) % BUCKETS][digits] = rank
+    whole = lambda digits: F.element_at(F.get(literal(buckets, "array<map<string,int>>"), (F.crc32(digits.cast("binary")) % BUCKETS).cast("int")), digits)
+    return let(let(F.hex(word.cast("binary")), whole, "int"), lambda rank: F.when(rank.isNotNull(), F.array(rank)).otherwise(folded), "array<int>")
 
 
 # the words of blocks of documents
@@ -204,8 +254,10 @@ def ids_of_block(folder: str, block: int) -> dict[str, bytes]:
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a word by ranked merges; a heap keeps long words from costing the square of their length."""
-    if (whole := ranks.get(word)) is not None:
-        return [whole]
+    return [whole] if (whole := ranks.get(word)) is not None else merged_alone(word, ranks)
+
+
+def merged_alone(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(word) <= 64:
         pieces = [word[k : k + 1] for k in range(len(word))]
         pairs = [ranks.get(word[k : k + 2], NONE) for k in range(len(word) - 1)]
@@ -250,8 +302,8 @@ def decoded(ids: Column, path: str) -> Column:
     pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-    return F.unhex(F.array_join(let(literal, lambda own: F.transform(ids, lambda i: F.get(own, i))), ""))
+    joined = lambda own: F.array_join(F.transform(ids, lambda i: F.get(own, i)), "")
+    return F.unhex(let(literal(pieces, "array<string>"), joined, "string"))
 
 
 def spelled(rows: DataFrame, folder: str, path: str, pattern: str, longest: int) -> DataFrame:
