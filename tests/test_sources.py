@@ -128,3 +128,55 @@ def test_timeline(spark):
 
 def test_snake_case():
     assert [J.snake_case(n) for n in ("xGChain", "player_id", "shotType", "h_a")] == ["x_g_chain", "player_id", "shot_type", "h_a"]
+
+
+def match_page(team="0000abcd", extra=""):
+    row = "<tr><th>Ann</th><td>90</td><td>8&lt;9</td></tr>"
+    return (
+        '<div class="scorebox"><div id="sb_team_0"><strong><a href="/t">A &amp; B</a></strong><div class="score"> 2 </div><div class="datapoint">Manager: Bo</div>'
+        '<div class="datapoint">Captain: <a href="/players/0000dcba/x">Cy</a></div></div><div id="sb_team_1"><strong><a>Away</a></strong><div class="score">x</div></div>'
+        '<div class="scorebox_meta"><span class="venuetime" data-venue-time="20:00">8</span><div>Venue: <b>Old</b> Park</div><div>Officials: D E (Referee) · F (VAR)</div></div></div>'
+        '<div class="lineup" id="b"><table><tr><th>Away (4-3-3)</th></tr></table></div>'
+        '<div id="events_wrap"><div class="event a"><div>90+2&rsquor;<br> <small><span>1:0</span></small></div><div class="event_icon goal"/><a href="/x/0000abcd/">Ann</a><small>Assist: <a>Di</a></small></div>'
+        '<div class="event"><div>7&rsquor;</div><i class="event_icon red_card"></i></div><div class="event"><i class="event_icon other"></i></div></div>'
+        f'<table id="stats_{team}_summary"><thead><tr><th>G</th></tr><tr><th>Player</th><th>Min</th><th>Min</th></tr></thead><tbody>{row}<tr class="thead"><th>x</th></tr><tr><td>1</td></tr></tbody></table>'
+        f'<table id="keeper_stats_{team}"><thead><tr><th>team</th><th>1/3</th></tr></thead><tbody><tr><td>own</td><td><b>4</b>5</td></tr></tbody></table>{extra}'
+    )
+
+
+ODD = ["<!-- <tr> -->", "<script>a<b</script>", "<p>open", "</div>", "a > b", "&amp", '<i title="a>b">c</i>', "<", "<textarea>x</textarea><div/>", "<DIV CLASS=score>3</DIV>", "é&#8217;"]
+
+
+def test_pages_by_arrays_equal_pages_by_trees():
+    import pyarrow as pa
+
+    from touchline.sources import page_arrays as A
+
+    pages = [match_page(), "", None, "x", match_page("00000001"), *(match_page(extra=x) for x in ODD), *(x + match_page("0000000f") for x in ODD)]
+    urls = [f"https://x/{i:08x}/A-B-{'August-17-2024' if i % 2 else 'Mai-99-2024'}" for i in range(len(pages))]
+    want = [(p, t, i, json.dumps(r, ensure_ascii=False)) for p, (h, u) in enumerate(zip(pages, urls)) for i, (t, r) in enumerate(P.page_records(h, u))]
+    for most in (A.BYTES, 3_000):
+        got = []
+        for start, n in A.pieces(pa.array(pages), most):
+            page, *rest = A.batch_records(urls[start : start + n], pa.array(pages).slice(start, n))
+            got += list(zip((page + start).tolist(), *rest))
+        assert got == want
+
+
+def test_plain_pages_build_no_tree(monkeypatch):
+    import pyarrow as pa
+
+    from touchline.sources import page_arrays as A
+
+    monkeypatch.setattr(P, "page_records", None)
+    table = A.batch_records(["u"], pa.array([match_page()]))[1]
+    assert table == ["metadata", "summary", "keeper", "events", "events"]
+
+
+@pytest.mark.parametrize("name", ["match_page_metadata"])
+def test_pages_are_not_shuffled(spark, data, name):
+    from touchline.queries import all_queries
+
+    plan = all_queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Repartition" in line]
+    assert len(dealt) == 1 and "l_orderkey" in dealt[0] and plan.index("html") < plan.index("Repartition")

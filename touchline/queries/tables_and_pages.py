@@ -243,8 +243,8 @@ def columns_renamed(spark, folder):
 
 
 def _match_pages(spark, folder):
-    """One small match page per line item, built from its columns."""
-    li = table(spark, folder, "lineitem")
+    """One small match page per line item, built from its columns; the columns are dealt out, not the pages."""
+    li = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag").repartition("l_orderkey")
     team = F.lpad(F.lower(F.hex("l_suppkey")), 8, "0")
     html = F.concat(
         F.lit('<div class="scorebox"><div id="sb_team_0"><strong><a href="/t">Home &amp; '), "l_returnflag", F.lit('</a></strong><div class="score">'), F.col("l_linenumber").cast("string"),
@@ -260,7 +260,7 @@ def _match_pages(spark, folder):
 
 
 def match_page_metadata(spark, folder):
-    out = P.page_table(P.extract_pages(_match_pages(spark, folder), partitions=spark.sparkContext.defaultParallelism), "metadata", ["source_id", "match_date", "home_team", "home_score", "away_score", "home_team_id", "home_manager"])
+    out = P.page_table(P.extract_pages(_match_pages(spark, folder)), "metadata", ["source_id", "match_date", "home_team", "home_score", "away_score", "home_team_id", "home_manager"])
     return out.drop("position", "url").groupBy(*[c for c in out.columns if c not in ("position", "url")]).agg(F.count(F.lit(1)).alias("n"))
 
 
