@@ -265,7 +265,7 @@ def match_page_metadata(spark, folder):
 
 
 def match_page_events(spark, folder):
-    out = P.page_table(P.extract_pages(_match_pages(spark, folder), partitions=spark.sparkContext.defaultParallelism), "events", ["minute", "added_time", "event_type", "is_home", "player_id", "secondary_player", "score_home"])
+    out = P.page_table(P.extract_pages(_match_pages(spark, folder)), "events", ["minute", "added_time", "event_type", "is_home", "player_id", "secondary_player", "score_home"])
     return out.groupBy("minute", "added_time", "event_type", "is_home", "player_id", "secondary_player", "score_home").agg(F.count(F.lit(1)).alias("n"))
 
 
