@@ -173,7 +173,7 @@ def test_plain_pages_build_no_tree(monkeypatch):
     assert table == ["metadata", "summary", "keeper", "events", "events"]
 
 
-@pytest.mark.parametrize("name", ["match_page_metadata", "match_page_events"])
+@pytest.mark.parametrize("name", ["match_page_metadata", "match_page_events", "match_page_stats"])
 def test_pages_are_not_shuffled(spark, data, name):
     from touchline.queries import all_queries
 

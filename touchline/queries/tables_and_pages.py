@@ -270,7 +270,7 @@ def match_page_events(spark, folder):
 
 
 def match_page_stats(spark, folder):
-    out = P.page_table(P.extract_pages(_match_pages(spark, folder), partitions=spark.sparkContext.defaultParallelism), "summary", ["player", "min", "cmp_percent", "team", "is_home"])
+    out = P.page_table(P.extract_pages(_match_pages(spark, folder)), "summary", ["player", "min", "cmp_percent", "team", "is_home"])
     return out.groupBy("player", "team", "is_home", "cmp_percent").agg(F.sum(F.col("min").cast("int")).alias("minutes"))
 
 
