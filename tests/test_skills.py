@@ -44,3 +44,27 @@ def test_history_is_strictly_before(spark):
 def test_ratio_skill_stays_inside(spark):
     df = spark.createDataFrame(stats(spark, [0.0] * 5, acc=1.0), SCHEMA)
     assert K.player_skills(df, date(2025, 1, 1)).first().pass_accuracy < 1
+
+
+def test_search_computes_its_matches_once(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.operators import skill_search as SS
+
+    n = 400
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def minutes(i):
+        seen.add(1)
+        return 30.0 + i % 60
+
+    matches = spark.range(n).select(
+        (F.col("id") % 9).alias("player_id"), F.lit("p").alias("player_name"), F.col("id").alias("match_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("match_date"), F.lit("Striker").alias("position"),
+        minutes("id").alias("total_minutes"), (F.col("id") % 5 / 3.0).alias("goals_p90"), (F.col("id") % 4 / 2.0).alias("shots_p90"),
+    )
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    _, found = SS.search_all(matches, stats=["goals_p90", "shots_p90"], rounds=3, points=3)
+    assert found.count() == 2 and seen.value <= 3 * n
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
