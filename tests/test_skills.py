@@ -68,3 +68,24 @@ def test_search_computes_its_matches_once(spark):
     _, found = SS.search_all(matches, stats=["goals_p90", "shots_p90"], rounds=3, points=3)
     assert found.count() == 2 and seen.value <= 3 * n
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def _exchanges(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if " Exchange " in line and "player_id" in line]
+
+
+def test_skills_of_many_dates_shuffle_matches_by_player_once(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from touchline.operators import skills as SK
+
+    matches = spark.range(200).select(
+        (F.col("id") % 9).alias("player_id"), F.lit("p").alias("player_name"), F.col("id").alias("match_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("match_date"),
+        F.when(F.col("id") % 3 > 0, "Striker").alias("position"), F.lit(90.0).alias("total_minutes"), (F.col("id") % 5 / 3.0).alias("goals_p90"),
+    )
+    out = SK.skills_at(matches, [date(2020, 3, 1), date(2020, 6, 1)], stats=["goals_p90"])
+    assert len(_exchanges(out.drop("player_name"))) == 1 and out.count() == 18
