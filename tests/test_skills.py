@@ -1,5 +1,7 @@
 from datetime import date, timedelta
 
+import pytest
+
 from touchline.operators import skills as K
 
 SCHEMA = (
@@ -89,3 +91,13 @@ def test_skills_of_many_dates_shuffle_matches_by_player_once(spark):
     )
     out = SK.skills_at(matches, [date(2020, 3, 1), date(2020, 6, 1)], stats=["goals_p90"])
     assert len(_exchanges(out.drop("player_name"))) == 1 and out.count() == 18
+
+
+@pytest.mark.parametrize("name", ["skill_backtest"])
+def test_backtest_deals_out_columns_not_sums(spark, data, name):
+    from touchline.queries import all_queries
+
+    plan = all_queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "RepartitionByExpression [player_id" in line)
+    assert "AS _x0_0" in "".join(lines[:at]) and "_x0_0" not in "".join(lines[at:]) and "scalar-subquery" not in plan
