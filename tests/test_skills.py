@@ -93,7 +93,7 @@ def test_skills_of_many_dates_shuffle_matches_by_player_once(spark):
     assert len(_exchanges(out.drop("player_name"))) == 1 and out.count() == 18
 
 
-@pytest.mark.parametrize("name", ["skill_backtest"])
+@pytest.mark.parametrize("name", ["skill_backtest", "skill_backtest_accuracy"])
 def test_backtest_deals_out_columns_not_sums(spark, data, name):
     from touchline.queries import all_queries
 
