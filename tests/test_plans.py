@@ -42,7 +42,7 @@ def test_player_totals_shuffle_wide_sums_once(spark):
     assert rows[None].total_minutes == 270 and rows[None].is_fw == 0 and rows["3"].is_fw == 1
 
 
-@pytest.mark.parametrize("name", ["box_score_scores", "box_score_blend"])
+@pytest.mark.parametrize("name", ["box_score_scores", "box_score_blend", "box_score_model"])
 def test_box_score_fits_free_what_their_rows_shuffled(spark, data, name, monkeypatch):
     from touchline.queries import all_queries, players
 
