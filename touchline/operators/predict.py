@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from touchline.functions.seasons import season_end_year
 from touchline.operators.boosting import BoostedModel, fit_boosted
+from touchline.session import local_rows
 
 GOAL_FEATURES = ["pred_home_goals", "pred_away_goals", "pred_goal_diff", "pred_total_goals"]
 # Columns of the fixture table, and competitions on neutral grounds.
@@ -68,18 +70,25 @@ def form_columns(columns: list[str]) -> list[str]:
 
 
 def impute_form(df: DataFrame) -> DataFrame:
-    """Flag matches with missing form, fill it with league means, overall means, then 0."""
+    """Flag matches with missing form, fill it with league means, overall means, then 0. All means come from one pass, a row a league."""
     columns = form_columns(df.columns)
     if not columns:
         return df.withColumn("is_early_season", F.lit(0)).na.fill(0)
     missing = F.col(columns[0]).isNull()
     for c in columns[1:]:
         missing = missing | F.col(c).isNull()
-    leagues = df.groupBy("league").agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("_league"))
+    sums = local_rows(
+        df.groupBy("league").agg(F.count(F.lit(1)).alias("_rows"), *[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("s", F.sum), ("n", F.count))])
+    )
+    mean = lambda c: F.try_divide(f"_s_{c}", f"_n_{c}")
+    leagues = sums.select("league", F.struct(*[mean(c).alias(c) for c in columns]).alias("_league"))
     joined = df.withColumn("is_early_season", missing.cast("int")).join(leagues, "league", "left")
     filled = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_league.{c}")) for c in columns}).drop("_league")
-    # The overall mean is taken after the league means have been filled in.
-    overall = filled.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+    # The overall mean is taken after the league means have been filled in: a league with a mean counts with all its rows.
+    full = lambda c: F.col("league").isNotNull() & (F.col(f"_n_{c}") > 0)
+    total = lambda c: F.sum(F.when(full(c), F.col("_rows") * mean(c)).otherwise(F.col(f"_s_{c}")))
+    n = lambda c: F.sum(F.when(full(c), F.col("_rows")).otherwise(F.col(f"_n_{c}")))
+    overall = sums.agg(F.struct(*[F.try_divide(total(c), n(c)).alias(c) for c in columns])).scalar()
     filled = filled.withColumn("_all", overall)
     filled = filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_all.{c}")) for c in columns}).drop("_all")
     numeric = [c for c, t in filled.dtypes if t in ("double", "int", "bigint") and c not in ("home_goals", "away_goals")]
@@ -175,7 +184,19 @@ def _filled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_goals(df: DataFrame, features: list[str], goals: str, penalty: float = 0.01) -> GoalModel:
-    """Poisson regression with log link for one side's goals."""
+    """Poisson regression with log link for one side's goals. A fit reads its rows at every step, so their columns are kept while it runs."""
+    kept = _fit_columns(df, features, [goals]).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _fit_goals(kept, features, goals, penalty)
+    finally:
+        kept.unpersist()
+
+
+def _fit_columns(df: DataFrame, features: list[str], others: list[str]) -> DataFrame:
+    return df.select(*dict.fromkeys([*others, *[c for c in features if c in df.columns]]))
+
+
+def _fit_goals(df: DataFrame, features: list[str], goals: str, penalty: float = 0.01) -> GoalModel:
     stages = [
         VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x"),
         GeneralizedLinearRegression(
@@ -219,13 +240,20 @@ def with_goal_predictions(df: DataFrame, home: GoalModel, away: GoalModel) -> Da
 def out_of_fold_goals(df: DataFrame, features: list[str], n_folds: int = 5) -> DataFrame:
     """Goal predictions for each row from models that never saw its fold."""
     folded = df.withColumn("_fold", F.pmod(F.xxhash64("match_id"), F.lit(n_folds)))
+    kept = _fit_columns(folded, features, ["_fold", "home_goals", "away_goals"]).persist(StorageLevel.DISK_ONLY)
+    try:
+        models = []
+        for k in range(n_folds):
+            rest = kept.where(F.col("_fold") != k)
+            models.append((_fit_goals(rest, features, "home_goals"), _fit_goals(rest, features, "away_goals")))
+    finally:
+        kept.unpersist()
     result = None
-    for k in range(n_folds):
-        rest, held_out = folded.where(F.col("_fold") != k), folded.where(F.col("_fold") == k)
-        home, away = fit_goals(rest, features, "home_goals"), fit_goals(rest, features, "away_goals")
-        part = with_goal_predictions(held_out, home, away)
+    for k, (home, away) in enumerate(models):
+        part = with_goal_predictions(folded.where(F.col("_fold") == k), home, away)
         result = part if result is None else result.unionByName(part)
-    return result.drop("_fold")
+    # every part has all partitions of the rows; a model fitted on them would start a task for each at every step
+    return result.drop("_fold").coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def predict_matches(df: DataFrame, home: GoalModel, away: GoalModel, outcome: OutcomeModel) -> DataFrame:

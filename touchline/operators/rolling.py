@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.operators.ordering import HotGroups, Ordering, split_hot
+from touchline.session import local_rows
 
 TEAM_MATCHES = Ordering(keys=("team",), by=("match_date", "match_id"), position="unix_date(match_date)")
 # Metrics averaged, and those also given as home minus away.
@@ -63,9 +64,11 @@ def rolling_form(
 
 
 def impute_xg(results: DataFrame) -> DataFrame:
-    """Missing chances take the league's mean, else the overall mean."""
-    means = results.groupBy("league").agg(F.avg("home_xg").alias("_lh"), F.avg("away_xg").alias("_la"))
-    overall = results.agg(F.struct(F.avg("home_xg").alias("h"), F.avg("away_xg").alias("a"))).scalar()
+    """Missing chances take the league's mean, else the overall mean; both come from one pass, a row a league."""
+    chances = {"h": "home_xg", "a": "away_xg"}
+    sums = local_rows(results.groupBy("league").agg(*[f(c).alias(f"_{n}{k}") for k, c in chances.items() for n, f in (("s", F.sum), ("n", F.count))]))
+    means = sums.select("league", *[F.try_divide(f"_s{k}", f"_n{k}").alias(f"_l{k}") for k in chances])
+    overall = sums.agg(F.struct(*[F.try_divide(F.sum(f"_s{k}"), F.sum(f"_n{k}")).alias(k) for k in chances])).scalar()
     joined = results.join(means, "league", "left").withColumn("_m", overall)
     return joined.withColumns(
         {
